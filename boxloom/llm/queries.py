@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import mixing, quality, simhash
+from boxloom.llm import compression, decontam, language, licenses, mixing, privacy, quality, simhash, substrings
 from boxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return build
 
 
+@_query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
+
+
 @_query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(quality.measure(table(spark, sf_dir, "documents")))
@@ -36,6 +41,36 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform(F.filter("matches", lambda m: m["exact"]), lambda m: m["item"])))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        decontam.contaminated().alias("contaminated"),
+        "n_near",
+    )
+
+
+@_query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = language.identify(language.evidence(docs, declared=F.col("lang"), host=F.col("source")))
+    return rows.select(F.col("id").alias("doc_id"), "language", F.round("posterior", 6).alias("posterior"), "text_language", "declared", "kept")
+
+
+@_query
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where all its evidence is at hand: markup, address suffix and host hierarchy."""
+    pages = table(spark, sf_dir, "pages").withColumn("text", language.html_text(F.col("html")))
+    rows = language.evidence(pages, "page_id", declared=language.html_language(F.col("html")), url=F.col("url"))
+    return language.identify(rows).select(F.col("id").alias("page_id"), "language", F.round("posterior", 6).alias("posterior"), "text_language", "declared", "host", "kept")
+
+
 @_query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -46,7 +81,39 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compression.fit(docs, table(spark, sf_dir, "labels"))
+    return compression.classify(docs, model).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = privacy.sanitise(table(spark, sf_dir, "documents")).select("id", "spans")
+    base = F.filter("spans", lambda x: x["kind"] != "term")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        *[count(k).alias(f"n_{k}") for k in privacy.KINDS],
+        F.sha2(privacy.listed(base), 256).alias("base_sha256"),
+        privacy.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @_query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@_query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
