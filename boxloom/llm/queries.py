@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import compression, decontam, language, licenses, mixing, privacy, quality, simhash, substrings
+from boxloom.llm import compression, decontam, language, licenses, lines, mixing, privacy, quality, simhash, substrings
 from boxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_lines", "n_judged", "n_removed", "kept", "text")
+
+
 @_query
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
