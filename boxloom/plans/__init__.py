@@ -7,7 +7,7 @@ import importlib
 from boxloom.plans.registry import REGISTRY, Query
 
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("detection",)
 
 
 def load_registry() -> dict[str, Query]:
