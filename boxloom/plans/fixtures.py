@@ -135,8 +135,10 @@ def sql(names: str, body: str) -> str:
         add(n)
     views = ", ".join(f"{n} as materialized ({CTES[n]})" for n in order)
     body = body.strip()
+    if not views:
+        return body
     if body.lower().startswith("with recursive "):
         return f"with recursive {views}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {views}, {body[5:]}"
-    return f"with {views} {body}" if views else body
+    return f"with {views} {body}"
