@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,10 +95,21 @@ def id_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
-    """``path, stem, ext, length`` of files, empty ones too; contents are not read."""
-    paths = [path] if isinstance(path, str) else path
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(paths)
-    return rows.select("path", stem(F.col("path")).alias("stem"), suffix(F.col("path")).alias("ext"), "length").distinct()
+    """``path, stem, ext, length`` of files below the folders, empty ones too, which Spark's file sources leave out.
+
+    Names are listed on the driver through the file system of each path; contents are not read.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    rows = []
+    for p in dict.fromkeys([path] if isinstance(path, str) else path):
+        root = hadoop.Path(p)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+        while files.hasNext():
+            f = files.next()
+            if fnmatch(f.getPath().getName(), glob):
+                rows.append((f.getPath().toString(), f.getLen()))
+    df = spark.createDataFrame(sorted(set(rows)), "path string, length long")
+    return df.select("path", stem(F.col("path")).alias("stem"), suffix(F.col("path")).alias("ext"), "length")
 
 
 def image_index(files: DataFrame, extensions: tuple[str, ...] = IMAGES) -> DataFrame:
