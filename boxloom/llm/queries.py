@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from boxloom.llm import compression, decontam, language, licenses, lines, mixing, privacy, quality, simhash, substrings
 from boxloom.llm.common import table
+from boxloom.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+#: What SQL can't express is tested against brute force.
+ORACLE_SQL: dict[str, str] = ORACLES
 
 
 def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -52,10 +54,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         decontam.contaminated().alias("contaminated"),
-        "n_near",
     )
 
 
+@_query
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of words behind the verdicts, exact and near."""
+    rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("id").alias("doc_id"), F.explode("matches").alias("m")).select("doc_id", "m.item", "m.first", "m.last", "m.exact")
+
+
 @_query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
