@@ -7,7 +7,7 @@ import importlib
 from boxloom.plans.registry import REGISTRY, Query
 
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ("detection", "annotation", "duplication", "splitting", "severity", "profiling")
+MODULES: tuple[str, ...] = ("detection", "annotation", "duplication", "splitting", "severity", "profiling", "kernels")
 
 
 def load_registry() -> dict[str, Query]:

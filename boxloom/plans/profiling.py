@@ -14,11 +14,11 @@ from boxloom.plans.registry import query
 c, lit = F.col, F.lit
 
 
-@query("source_profile", """select coalesce(source,'TOTAL') source, count(*) n_images, count(*) filter (n_chars>=1000) n_positive, count(*) filter (n_chars<1000) n_background, sum(n_chars)::bigint n_boxes, round(coalesce(avg(n_chars/20000.0::double),0),6) mean_share,
- case when avg(n_chars/20000.0::double)<0.02 then 'far/dashcam' when avg(n_chars/20000.0::double)<0.08 then 'mid' else 'close-up' end label from documents group by rollup(source)""")
+@query("source_profile", """select coalesce(source,'TOTAL') source, count(*) n_images, count(*) filter (n_chars>=1000) n_positive, count(*) filter (n_chars<1000) n_background, sum(n_chars)::bigint n_boxes, round(coalesce(avg(n_chars/20011.0::double),0),6) mean_share,
+ case when avg(n_chars/20011.0::double)<0.02 then 'far/dashcam' when avg(n_chars/20011.0::double)<0.08 then 'mid' else 'close-up' end label from documents group by rollup(source)""")
 def source_profile(spark, d):
     t = V.table(spark, d, "documents").select("source", "n_chars")
-    share = F.avg(c("n_chars") / lit(20000.0))
+    share = F.avg(c("n_chars") / lit(20011.0))
     r = t.rollup("source").agg(F.grouping("source").alias("g"), F.count("*").alias("n_images"), count_if(c("n_chars") >= 1000).alias("n_positive"), count_if(c("n_chars") < 1000).alias("n_background"), F.sum("n_chars").alias("n_boxes"), F.coalesce(share, lit(0.0)).alias("m"))
     return r.select(F.when(c("g") == 1, "TOTAL").otherwise(c("source")).alias("source"), "n_images", "n_positive", "n_background", "n_boxes", F.round("m", 6).alias("mean_share"), G.domain_label("m").alias("label"))
 
