@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Separators of white-space words, as a Java pattern.
@@ -33,6 +34,19 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver's JVM collects garbage, which a large heap may put off until long
+    after a checkpoint has made the files useless. What Python and Spark's listeners let go
+    reaches the collector a second or two later, so one collection is not enough.
+    """
+    for _ in range(4):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.6)
+
+
 def pack(df: DataFrame, **columns: Column) -> DataFrame:
     """Only the named columns: whatever else the input holds can't clash with the operator's own."""
     return df.select(*[c.alias(k) for k, c in columns.items()])

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxloom.llm.common import pack, shared
+from boxloom.llm.common import pack, release, shared
 
 THRESHOLD = 200
 #: Bytes of the first digit.
-GRAM = 80
+GRAM = 120
 #: Bytes of a text handled at once; a longer one is cut into pieces whose windows overlap.
 PIECE = 1 << 20
 #: Rows that a task gathers before it looks for repeats among them.
@@ -213,11 +213,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     runs = runs.withColumns({"total": F.sum("weight").over(same), "nth": F.row_number().over(same.orderBy("r1", "r2", "at"))})
     kept = runs.where("total > 1 or (low <> high and nth = 1)")
     kept = shared(kept.selectExpr("r1", "r2", "at", "n", "total as weight", "low <> high and nth = 1 as opened"))
+    # From here on the checkpoint holds what is left of the first pass, and its shuffle can go.
+    del runs
+    release(docs.sparkSession)
     opened = kept.where("opened").groupBy("r1", "r2").agg(F.collect_list(F.struct("at", "n", "weight")).alias("runs"))
     windows = last_pass(_packed(rows).join(opened, ["r1", "r2"]), threshold)
     windows = windows.withColumn("total", F.sum("weight").over(same)).where("total > 1").select("r1", "r2", "at", "n")
     found = kept.where("weight > 1").select("r1", "r2", "at", "n").unionByName(windows)
-    return found.groupBy("r1", "r2").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    found = shared(found.groupBy("r1", "r2").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
+    del opened, windows
+    release(docs.sparkSession)
+    return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
