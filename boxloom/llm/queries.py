@@ -105,7 +105,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = privacy.sanitise(table(spark, sf_dir, "documents")).select("id", "spans")
-    base = F.filter("spans", lambda x: x["kind"] != "term")
+    base = F.filter("spans", lambda x: x["kind"].isin(*privacy.KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     return rows.select(
         F.col("id").alias("doc_id"),
@@ -115,6 +115,13 @@ def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def privacy_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with personal data and disclosing terms generalised or removed."""
+    rows = privacy.sanitise(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), privacy.redacted(F.col("text"), F.col("spans")).alias("text"), F.size("spans").cast("long").alias("n_spans"))
+
+
 @_query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))

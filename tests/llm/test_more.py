@@ -1,6 +1,7 @@
 """License scan, decontamination, language id, classifier, privacy and substring removal against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from boxloom.llm import compression, decontam, language, licenses, privacy, substrings
@@ -198,7 +200,7 @@ def test_privacy_spans(spark):
     texts = ODD + [t for (t,) in rows_of("select text FROM documents;")]
     got = {r["id"]: r for r in privacy.sanitise(frame(spark, texts).withColumn("spans", F.lit(0))).select("id", privacy.listed(F.col("spans")).alias("l")).collect()}
     for i, t in enumerate(texts):
-        base = [x for x in got[i]["l"].split(",") if x and not x.startswith("term")]
+        base = [x for x in got[i]["l"].split(",") if x and not x.startswith(("term", "secret"))]
         assert base == brute_spans(t), (i, t if i < len(ODD) else "")
     assert privacy.sanitise(frame(spark, ["a"]).limit(0)).count() == 0
 
@@ -210,11 +212,74 @@ def test_privacy_terms(spark, limit):
     got = {r["id"]: r for r in df.select("*", privacy.redacted(F.col("text"), F.col("spans")).alias("out"), privacy.listed(F.col("spans")).alias("l")).collect()}
     assert got[0]["out"] == "call [EMAIL] now 0 at [EMAIL] ok"
     assert got[5]["l"] == "term:4:11" and got[5]["out"] == "Dr. [EMAIL] was here"
-    assert got[6]["out"] == texts[6] and got[11]["out"] == "mail [EMAIL]"
+    assert got[6]["out"] == texts[6] and got[11]["out"] == " [EMAIL]"
     few = privacy.sanitise(frame(spark, texts[:1] * 9)).select(privacy.listed(F.col("spans")).alias("l")).collect()
     assert {r["l"] for r in few} == {"email:22:29"}
 
 
+SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}"
+
+
+def brute_terms(texts, support=3, generalise=0.8):
+    """Terms that disclose a value or a kind, by counting lines one after the other."""
+    lines, held, entity, term, both = 0, [], Counter(), Counter(), Counter()
+    seen = {}
+    for line in (x for t in texts for x in (t or "").split("\n")):
+        lines += 1
+        letters = lambda x: {m[0] for m in regex.finditer(r"\p{L}+", x.lower())}
+        term.update(letters(line))
+        found = set()
+        for s in brute_spans(line):
+            kind, a, b = s.split(":")
+            value = line[int(a) : int(b)]
+            found |= {(kind, ""), (kind, value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value))}
+        for m in re.finditer(SECRET, line):
+            found |= {("secret", ""), ("secret", m[0])}
+        if not found:
+            continue
+        for p in (PATTERNS["email"], PATTERNS["phone"], PATTERNS["card"], PATTERNS["ip"], SECRET):
+            line_bare = re.sub(p, " ", line if p is PATTERNS["email"] else line_bare)
+        for e in found:
+            entity[e] += 1
+            for t in letters(line_bare):
+                both[e, t] += 1
+                seen.setdefault((e, t), set()).add(line)
+    told = {}
+    for (e, t), n in both.items():
+        content = math.log2(lines / entity[e])
+        share = math.log2(n * lines / (entity[e] * term[t])) / content if content else 0
+        if len(seen[e, t]) >= support and share >= generalise:
+            told[t] = max(told.get(t, (0, "")), (share, e[0]))
+    return told
+
+
+def test_privacy_terms_of_a_corpus(spark):
+    """Term and secret spans of the whole table are those that counting finds, and some are found."""
+    sf = "/root/testdata/sf0.01"
+    texts = dict(rows_of("select doc_id, text FROM documents;", sf))
+    told = brute_terms(texts.values())
+    assert "token" in told and told["token"][1] == "secret"
+    got = {r["doc_id"]: r["spans"].split(",") for r in QUERIES["op8_privacy"](spark, sf).collect()}
+    n = 0
+    for i, t in texts.items():
+        want = {f"secret:{m.start()}:{m.end()}" for m in re.finditer(SECRET, t or "")}
+        want |= {f"term:{m.start()}:{m.end()}" for m in regex.finditer(r"\p{L}+", t or "") if m[0].lower() in told}
+        assert {x for x in got[i] if x.startswith(("term", "secret"))} == want, i
+        n += len(want)
+    assert n > 10
+
+
+def test_privacy_long_text(spark):
+    """Tens of thousands of matches in one text take time in proportion, in spans and in the text that is left."""
+    import time
+
+    text = " ".join(f"a{i}@b.co" for i in range(40_000))
+    df = frame(spark, [text]).withColumn("spans", privacy.base_spans(F.col("text")))
+    start = time.time()
+    got = df.select(F.size("spans").alias("n"), privacy.redacted(F.col("text"), F.col("spans")).alias("out")).collect()[0]
+    assert got["n"] == 40_000 and got["out"] == " ".join(["[EMAIL]"] * 40_000) and time.time() - start < 10
+
+
 def brute_removed(texts, k):
     data = [(t or "").encode() for t in texts]
     starts = Counter(d[p : p + k] for d in data for p in range(len(d) - k + 1))
