@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,17 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from boxloom.llm.common import pack
 
-#: Labelled documents read for either class, and bytes of them used for its dictionary.
+#: Labelled documents read for either class, and bytes of their whole texts at most.
 SAMPLE, SAMPLE_BYTES = 2000, 8 << 20
 #: Bytes compressed by themselves. Pieces cover the whole text; a long one would teach the
 #: compressor its own words and make the dictionaries alike.
 PIECE = 2048
-DICTIONARY = 256 << 10
+#: Bytes of a trained dictionary, and of the pieces of texts that it is trained on.
+DICTIONARY, TRAIN_PIECE = 256 << 10, 1024
 LEVEL = 9
-FEATURES = 7
 
 
 def held_out(id_col: Column) -> Column:
@@ -30,64 +30,56 @@ def held_out(id_col: Column) -> Column:
 
 @dataclass
 class Model:
+    """Dictionaries of either class, and the line that turns a size difference into log odds."""
+
     good: bytes
     bad: bytes
-    weights: list[float]
+    slope: float = 0.0
+    intercept: float = 0.0
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30)))
 
-def features(text: bytes, good, bad) -> list[float]:
-    """Evidence of a text's compressed sizes with either dictionary.
 
-    A constant, the size difference per byte and per compressed byte, the smaller size per byte and
-    its logarithm, how little there is to go by, and the least difference per byte of a piece.
-    """
-    a = b = 0
-    least = None
+def difference(text: bytes, good, bad) -> float:
+    """How many bytes fewer a byte of the text takes with the good dictionary than with the bad one."""
+    total = 0
     for at in range(0, len(text), PIECE):
         piece = text[at : at + PIECE]
-        x, y = len(good.compress(piece)), len(bad.compress(piece))
-        a, b = a + x, b + y
-        if at == 0 or 2 * len(piece) >= PIECE:
-            own = (y - x) / len(piece)
-            least = own if least is None else min(least, own)
-    n, size = max(1, len(text)), min(a, b)
-    return [1.0, (b - a) / n, (b - a) / max(1, a + b), size / n, math.log(max(1, size) / n), 1.0 / (1 + n), least or 0.0]
+        total += len(bad.compress(piece)) - len(good.compress(piece))
+    return total / max(1, len(text))
 
 
-def _compressors(model: Model):
+def compressors(model: Model):
     import zstandard
 
     def of(data: bytes):
-        known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        # Trained dictionaries name themselves; other content is taken as it is.
+        known = zstandard.ZstdCompressionDict(data)
         known.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False)
 
     return of(model.good), of(model.bad)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method; classes weigh the same."""
-    scale = np.maximum(x.std(axis=0), 1e-9)
-    scale[0] = 1.0
-    z, w = x / scale, np.zeros(x.shape[1])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    for _ in range(50):
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression of the labels on one number, by Newton's method."""
+    scale = max(float(x.std()), 1e-9)
+    z, w = np.column_stack([x / scale, np.ones(len(x))]), np.zeros(2)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (share * (p - y)) + ridge * w
-        step = np.linalg.solve((z * (share * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), grad)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(x) + ridge * np.eye(2), z.T @ (p - y) / len(x) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return w / scale
+    return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Learn from labelled documents that are not held out.
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, sample_bytes: int) -> list[tuple[bytes, int]]:
+    """Whole texts and labels to learn from: of either label those whose ids hash lowest, within both bounds.
 
-    At most ``sample`` documents of either label are read, those whose ids hash lowest, so the
-    model's cost does not grow with the corpus; of these, texts beyond ``sample_bytes`` are left out.
-    Scores are calibrated on texts that the dictionaries have not seen: each half by the dictionaries
-    of the other.
+    A document is left out where its text would pass ``sample_bytes``; that is settled before
+    anything is brought to the driver. An id that is repeated counts once, with its least text.
     """
     marked = pack(labels, label_id=F.col(id_col).cast("long"), label=F.col(label_col).cast("int")).where("label in (0, 1) and label_id is not null")
     marked = marked.where(~held_out(F.col("label_id"))).dropDuplicates(["label_id"])
@@ -95,39 +87,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = marked.where("label = 1").orderBy(*order).limit(sample).unionByName(marked.where("label = 0").orderBy(*order).limit(sample))
     texts = pack(docs, label_id=F.col(id_col).cast("long"), text=F.col(text_col).cast("string")).where("text is not null")
     # At most 2 * sample rows of two numbers, so always small enough to send to every executor.
-    rows = texts.join(F.broadcast(chosen), "label_id").orderBy(*order).collect()
-    fold: dict[tuple[int, int], list[bytes]] = {(y, k): [] for y in (0, 1) for k in (0, 1)}
-    size, count = {0: 0, 1: 0}, {0: 0, 1: 0}
-    for r in rows:
-        text, y = r["text"].encode(), r["label"]
-        count[y] += 1
-        if size[y] < sample_bytes:
-            fold[y, count[y] % 2].append(text)
-            size[y] += len(text)
+    rows = texts.join(F.broadcast(chosen), "label_id").groupBy("label_id", "label").agg(F.min("text").alias("text"))
+    total = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(*order))
+    rows = rows.withColumn("total", total).where(F.col("total") <= sample_bytes).orderBy(*order)
+    return [(r["text"].encode(), r["label"]) for r in rows.collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from labelled documents that are not held out.
+
+    At most ``sample`` documents of either label and ``sample_bytes`` of their text are read, so
+    the model's cost does not grow with the corpus. Dictionaries are trained on all of that; the
+    line from size difference to log odds is fitted on differences by dictionaries that have not
+    seen the text: each half is compressed with those of the other half. Labels keep their shares.
+    """
+    rows = sampled(docs, labels, id_col, text_col, label_col, sample, sample_bytes)
+    half = [rows[0::2], rows[1::2]]
+    of = lambda part, y: dictionary([t for t, q in part if q == y])
     x, marks = [], []
     for k in (0, 1):
-        good, bad = _compressors(Model(dictionary(fold[1, 1 - k]), dictionary(fold[0, 1 - k]), []))
-        for y in (0, 1):
-            x += [features(t, good, bad) for t in fold[y, k]]
-            marks += [y] * len(fold[y, k])
-    model = Model(dictionary(fold[1, 0] + fold[1, 1]), dictionary(fold[0, 0] + fold[0, 1]), [0.0] * FEATURES)
-    if len(set(marks)) == 2:
-        model.weights = _logistic(np.array(x), np.array(marks, float)).tolist()
-    return model
-
-
-def dictionary(texts: list[bytes], size: int = DICTIONARY, piece: int = 1024) -> bytes:
-    """Content that compresses texts like these: pieces of each text in turn until ``size`` bytes are full."""
-    chosen: list[bytes] = []
-    total, at = 0, 0
-    while total < size and any(at < len(t) for t in texts):
-        for t in texts:
-            if at < len(t) and total < size:
-                chosen.append(t[at : at + piece])
-                total += len(chosen[-1])
-        at += piece
-    # The compressor reaches the end of a dictionary most cheaply: the first pieces go there.
-    return b"\n".join(reversed(chosen)) or b" "
+        good, bad = compressors(Model(of(half[1 - k], 1), of(half[1 - k], 0)))
+        x += [difference(t, good, bad) for t, _ in half[k]]
+        marks += [q for _, q in half[k]]
+    line = calibrate(np.array(x), np.array(marks, float)) if len(set(marks)) == 2 else (0.0, 0.0)
+    return Model(of(rows, 1), of(rows, 0), *line)
+
+
+def dictionary(texts: list[bytes], size: int = DICTIONARY, piece: int = TRAIN_PIECE) -> bytes:
+    """A zstandard dictionary trained on whole texts, in pieces; too little text to train on is the dictionary itself."""
+    import zstandard
+
+    pieces = [t[at : at + piece] for t in texts for at in range(0, len(t), piece)]
+    try:
+        return zstandard.train_dictionary(size, pieces).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(pieces) or b" "
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,12 +134,10 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = pack(docs, id=F.col(id_col).cast("long"), text=F.col(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = _compressors(model)
-        weights = np.array(model.weights)
+        good, bad = compressors(model)
         for batch in batches:
-            x = np.array([features(t.as_py() or b"", good, bad) for t in batch.column(1).cast(pa.large_binary())]).reshape(-1, FEATURES)
-            score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["id", "score"])
+            x = np.array([difference(t.as_py() or b"", good, bad) for t in batch.column(1).cast(pa.large_binary())], float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["id", "score"])
 
     scored = rows.mapInArrow(run, "id long, score double")
     return scored.select("id", held_out(F.col("id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -163,6 +163,45 @@ def test_classifier_query(spark):
     good, bad = [s for s, q in labels if q], [s for s, q in labels if not q]
     auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad)
     assert auc >= 0.97
+    # Calibrated: scores are near the share of good documents among those scored alike, on average and by Brier's measure.
+    share = sum(q for _, q in labels) / len(labels)
+    assert abs(sum(s for s, _ in labels) / len(labels) - share) <= 0.05
+    assert sum((s - q) ** 2 for s, q in labels) / len(labels) <= 0.5 * share * (1 - share)
+
+
+def test_classifier_scores(spark):
+    """Scores again, from the definition: compressed sizes with dictionaries of the same sample, and the fitted line."""
+    import numpy as np
+    import zstandard
+
+    sf = "/root/testdata/sf0.01"
+    texts = dict(rows_of("select doc_id, text FROM documents;", sf))
+    labels = {i: q for i, q in rows_of("select doc_id, quality FROM labels;", sf) if zlib.crc32(str(i).encode()) % 3 != 1}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = compression.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    # All labelled documents are within the bounds; the trained dictionary depends on their order only.
+    assert sum(len(texts[i].encode()) for i in labels) <= compression.SAMPLE_BYTES
+
+    def packed(data, piece):
+        d = zstandard.ZstdCompressionDict(data)
+        return len(zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False).compress(piece))
+
+    got = {r["id"]: r["score"] for r in compression.classify(docs, model).collect()}
+    for i in list(texts)[:150]:
+        t = texts[i].encode()
+        cut = [t[a : a + 2048] for a in range(0, len(t), 2048)]
+        x = sum(packed(model.bad, c) - packed(model.good, c) for c in cut) / max(1, len(t))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.slope * x + model.intercept))), rel=1e-6)
+
+
+def test_classifier_sample(spark):
+    """Both bounds hold, whole texts are read, and repeated ids count once."""
+    docs = spark.createDataFrame([(i % 40, "ab " * (i + 1)) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = compression.sampled(docs, labels, "doc_id", "text", "quality", 5, 1 << 20)
+    assert Counter(y for _, y in got) == {0: 5, 1: 5} and all(len(t) % 3 == 0 and len(t) <= 120 for t, _ in got)
+    few = compression.sampled(docs, labels, "doc_id", "text", "quality", 100, 200)
+    assert few and all(sum(len(t) for t, y in few if y == k) <= 200 for k in (0, 1))
 
 
 def test_classifier_odd_rows(spark):
@@ -171,7 +210,8 @@ def test_classifier_odd_rows(spark):
     for d in (df, df.limit(0)):
         got = compression.classify(d, compression.fit(d, labels)).collect()
         assert len(got) == d.count() and all(0 <= r["score"] <= 1 for r in got)
-    assert compression.fit(df, labels.limit(0)).weights == [0.0] * compression.FEATURES
+    none = compression.fit(df, labels.limit(0))
+    assert (none.slope, none.intercept) == (0.0, 0.0)
 
 
 PATTERNS = {
