@@ -41,24 +41,42 @@ TEMPLATES = (
 
 
 class Index:
-    """Postings of template words, their corpus weights, and each template's rarest words."""
+    """Postings of template words and their weights by rarity in the corpus."""
 
-    def __init__(self, templates: tuple, counts: dict[str, int], n_docs: int, anchors: int) -> None:
+    def __init__(self, templates: tuple, counts: dict[str, int], n_docs: int) -> None:
         self.label = [t[0] for t in templates]
         self.words = [words_of(t[1].encode()) for t in templates]
         self.phrases = [[words_of(p.encode()) for p in t[2]] for t in templates]
         self.idf = {w: math.log((n_docs + 1) / (counts.get(w.decode(), 0) + 1)) + 1.0 for ws in self.words for w in ws}
         self.total = [sum(self.idf[w] for w in ws) for ws in self.words]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.anchors: dict[bytes, list[tuple[int, int]]] = {}
-        self.n_anchors = []
         for t, ws in enumerate(self.words):
-            rarest = sorted(set(ws), key=lambda w: (-self.idf[w], w))[:anchors]
-            self.n_anchors.append(len(rarest))
             for place, w in enumerate(ws):
                 self.postings.setdefault(w, []).append((t, place))
-                if w in rarest:
-                    self.anchors.setdefault(w, []).append((t, place))
+        self.rarest = sorted(self.postings, key=lambda w: (-self.idf[w], w))
+
+    def lookups(self, have: set[bytes], share: float) -> dict[bytes, set[int]]:
+        """Words to look up in a file that has these licence words, each with the templates it is looked up for.
+
+        They are the file's rarest: for a template, as many as it takes until the others that the
+        file has can't weigh ``share`` of it any more. So whatever stretch of the file weighs
+        enough has one of them. Templates that all of the file's words don't weigh enough for get none.
+        """
+        spare = [-share * total for total in self.total]
+        order = [w for w in self.rarest if w in have]
+        for w in order:
+            for t, _ in self.postings[w]:
+                spare[t] += self.idf[w]
+        found: dict[bytes, set[int]] = {}
+        for w in order:
+            for t in {t for t, _ in self.postings[w]}:
+                # A hair's breadth of weight is kept against rounding.
+                if spare[t] >= -1e-9:
+                    found.setdefault(w, set()).add(t)
+            for t, _ in self.postings[w]:
+                if t in found.get(w, ()):
+                    spare[t] -= self.idf[w]
+        return found
 
 
 def vocabulary(templates: tuple = TEMPLATES) -> set[bytes]:
@@ -99,48 +117,62 @@ def _phrase_starts(words: list[bytes], phrase: list[bytes], low: int = 0, high:
         at += 1
 
 
+def weight(words: list[bytes], index: Index, t: int, start: int, drift: int) -> float:
+    """Share of a template's weight that stands within ``drift`` words of its places if it starts at ``start``."""
+    agree = 0.0
+    for k, w in enumerate(index.words[t]):
+        if w in words[max(0, start + k - drift) : max(0, start + k + drift + 1)]:
+            agree += index.idf[w]
+    return agree / index.total[t]
+
+
+def align(words: list[bytes], index: Index, drift: int, share: float) -> list[tuple[str, int, int, float]]:
+    """Label, first word, last word and weight of every stretch that is a template.
+
+    The file's rarest licence words are looked up; each place of one, less its places in a
+    template's postings, says where the template would start, give or take ``drift`` words. Where
+    starts of a template agree closely the heaviest counts, the first of equals.
+    """
+    found: list[tuple[str, int, int, float]] = []
+    lookups = index.lookups(index.postings.keys() & set(words), share)
+    starts: dict[int, set[int]] = {}
+    for at, w in enumerate(words if lookups else ()):
+        for t, place in index.postings[w] if w in lookups else ():
+            if t in lookups[w]:
+                starts.setdefault(t, set()).update(range(at - place - drift, at - place + drift + 1))
+    for t, places in starts.items():
+        n, best = len(index.words[t]), None
+        for start in sorted(places):
+            score = weight(words, index, t, start, drift)
+            low, high = max(0, start - drift), start + n + drift
+            if score < share or not all(_phrase_starts(words, p, low, high) for p in index.phrases[t]):
+                continue
+            if best is not None and start > best[0] + n - 1:
+                found.append((index.label[t], max(best[0], 0), min(best[0] + n, len(words)) - 1, best[1]))
+                best = None
+            if best is None or score > best[1]:
+                best = (start, score)
+        if best is not None:
+            found.append((index.label[t], max(best[0], 0), min(best[0] + n, len(words)) - 1, best[1]))
+    return found
+
+
 def scan(text: bytes, index: Index, drift: int = 2, share: float = 0.6) -> dict:
     """Base phrases and aligned templates of one text.
 
-    Positions of the text's license words that are among some template's rarest are looked up in
-    the postings; each gives the template a start. Starts within ``drift`` words of each other are
-    one alignment. It counts if enough of the template's rarest words agree on it, then if all the
-    template's words found at their places weigh at least ``share`` of it, and every mandatory
-    phrase stands in the aligned stretch.
+    A template counts where words at their places, within ``drift`` words, weigh at least ``share``
+    of it and every mandatory phrase stands in that stretch.
     """
     words = words_of(text)
     base: dict[str, list[int]] = {}
     first, last, n = None, None, 0
-    have = index.anchors.keys() & set(words)
-    if have or b"license" in text.lower():
+    if b"license" in text.lower():
         for phrase, label in BASE.items():
             if places := _phrase_starts(words, phrase.encode().split()):
                 base.setdefault(label, []).extend(places)
         if starts := [p for x in base.values() for p in x]:
             first, last, n = min(starts), max(starts), len(starts)
-    found: list[tuple[str, int, int, float]] = []
-    if have:
-        votes: dict[int, dict[int, set[bytes]]] = {}
-        for at, w in enumerate(words):
-            if w in have:
-                for t, place in index.anchors[w]:
-                    votes.setdefault(t, {}).setdefault(at - place, set()).add(w)
-        for t, starts in votes.items():
-            need = max(1, math.ceil(share * index.n_anchors[t]))
-            taken = None
-            for start in sorted(starts):
-                if taken is not None and start <= taken + drift:
-                    continue
-                near = [starts[s] for s in range(start, start + drift + 1) if s in starts]
-                if len(set().union(*near)) < need:
-                    continue
-                ws = index.words[t]
-                low, high = max(0, start - drift), start + len(ws) + 2 * drift
-                agree = sum(index.idf[w] for k, w in enumerate(ws) if w in words[max(0, start + k - drift) : max(0, start + k + 2 * drift + 1)])
-                score = agree / index.total[t]
-                if score >= share and all(_phrase_starts(words, p, low, high) for p in index.phrases[t]):
-                    found.append((index.label[t], max(start, 0), min(high - 2 * drift, len(words)) - 1, score))
-                    taken = start + len(ws) - 1
+    found = align(words, index, drift, share)
     labels = sorted({*base, *(f[0] for f in found)})
     score = 1.0 if base else max((f[3] for f in found), default=0.0)
     return {"n_words": len(words), "n_base": n, "first_word": first, "last_word": last, "base_labels": sorted(base), "labels": labels, "score": min(1.0, score), "spans": sorted(found, key=lambda f: (f[1], f[0]))}
@@ -153,7 +185,7 @@ SCANNED = (
 )
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, anchors: int = 6) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES) -> DataFrame:
     """One row for each document: base phrases, labels, score and the aligned notices.
 
     Words weigh by their rarity in all documents, counted first. ``first_word`` and ``last_word``
@@ -163,7 +195,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = pack(docs, id=F.col(id_col).cast("long"), text=F.col(text_col).cast("string"))
     counts, n_docs = document_counts(rows.select("text"), templates)
-    index = Index(templates, counts, n_docs, anchors)
+    index = Index(templates, counts, n_docs)
     span = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,6 +60,53 @@ def test_license_odd_rows(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def brute_labels(ws, index, drift=2, share=0.6):
+    """Every template at every start of a text."""
+    labels = set()
+    for t, tw in enumerate(index.words):
+        for start in range(-len(tw) + 1, len(ws)):
+            near = [ws[max(0, start + k - drift) : max(0, start + k + drift + 1)] for k in range(len(tw))]
+            score = sum(index.idf[w] for w, x in zip(tw, near, strict=True) if w in x) / index.total[t]
+            stretch = ws[max(0, start - drift) : start + len(tw) + drift]
+            if score >= share and all(phrase_places([x.decode() for x in stretch], b" ".join(p).decode()) for p in index.phrases[t]):
+                labels.add(index.label[t])
+    return labels
+
+
+def test_license_lookups():
+    """Notices with words changed, added and moved are found exactly where their weight suffices, whatever words were changed."""
+    rng = random.Random(6)
+    counts = {w.decode(): rng.choice([0, 0, 5, 400]) for w in licenses.vocabulary()}
+    index = licenses.Index(licenses.TEMPLATES, counts, 1000)
+    some = found = 0
+    for t, ws in enumerate(index.words):
+        fixed = {i for p in index.phrases[t] for a in range(len(ws)) if ws[a : a + len(p)] == p for i in range(a, a + len(p))}
+        for _ in range(25):
+            own = list(ws)
+            free = [i for i in range(len(ws)) if i not in fixed]
+            for i in rng.sample(free, min(len(free), rng.randint(0, 5))):
+                own[i] = rng.choice([b"zzz", *ws])
+            if rng.random() < 0.3:
+                own.insert(rng.randrange(len(own)), b"also")
+            text = [b"pad"] * rng.randint(0, 9) + own + [b"pad"] * rng.randint(0, 9)
+            want = brute_labels(text, index)
+            got = {x[0] for x in licenses.align(text, index, 2, 0.6)}
+            assert got == want
+            some, found = some + 1, found + (index.label[t] in got)
+    assert some / 2 < found < some
+
+
+def test_license_labels(spark):
+    """Labels of the query are those of every template at every start."""
+    docs = [(i, t) for i, t in rows_of("select doc_id, text FROM documents;") if "icens" in (t or "") or i % 20 == 0]
+    rows = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("text")
+    index = licenses.Index(licenses.TEMPLATES, *licenses.document_counts(rows))
+    got = {r["doc_id"]: r for r in QUERIES["op1_license_scan"](spark, SF).collect()}
+    for i, t in docs:
+        want = brute_labels([w.encode() for w in words(t)], index) | set(filter(None, got[i]["base_labels"].split(",")))
+        assert got[i]["labels"] == ",".join(sorted(want)), i
+
+
 def brute_hits(ws, items, width=13):
     hit, found = set(), set()
     for item, iw in items:
