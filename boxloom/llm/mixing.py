@@ -16,6 +16,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
 #: Words of a block, and about how many words a shard holds.
 BLOCK, SHARD = 32, 1 << 18
+#: Blocks that a task draws from, and rows of sums by group that are broadcast at most.
+TASK, BROADCAST_GROUPS = 1 << 18, 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -52,6 +54,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.withColumn("target", F.when(over, room.cast("double")).otherwise(F.lit(factor) * F.col("weight"))).drop("weight")
 
 
+def _joined(rows: DataFrame, sums: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with what ``sums`` says of their group; few groups are sent to where the rows lie."""
+    return rows.join(F.broadcast(sums) if sums.count() <= BROADCAST_GROUPS else sums, group)
+
+
 def apportion(parties: DataFrame, group: list[str], key: list[str], votes: str, seats: Column) -> DataFrame:
     """Add ``quota``: Sainte-Laguë seats of each party in its group.
 
@@ -59,21 +66,27 @@ def apportion(parties: DataFrame, group: list[str], key: list[str], votes: str,
     votes / (2 * seats so far + 1). Rounding votes by a divisor a little too large gives every
     party a sure part of its seats; only the few left, at most about one a party, are dealt by
     comparing quotients, ties in the order of ``key``, which names a party. Groups without votes get none.
+
+    Votes and sure seats are added up by group where they lie, and quotients are ranked by range,
+    so a group of any number of parties is spread over tasks.
     """
-    by = Window.partitionBy(*group)
-    df = parties.withColumn("_h", seats.cast("double")).withColumn("_v", F.sum(votes).over(by)).withColumn("_n", F.count("*").over(by))
+    names = list(parties.columns)
+    sums = shared(parties.groupBy(*group).agg(F.sum(votes).alias("_v"), F.count("*").alias("_n")))
+    df = _joined(parties.withColumn("_h", seats.cast("double")), sums, group)
     # With divisor v / (h - n / 2), rounding gives h seats at most; with few seats none is sure.
     divisor = F.when(F.col("_h") > F.col("_n"), F.col("_v") / (F.col("_h") - F.col("_n") / 2))
     sure = F.coalesce(F.floor(F.try_divide(F.col(votes), divisor) + 0.5), F.lit(0)).cast("long")
-    df = df.withColumn("_sure", F.when(F.col("_v") > 0, sure).otherwise(F.lit(0)))
-    df = df.withColumn("_left", F.when(F.col("_v") > 0, F.col("_h").cast("long") - F.sum("_sure").over(by)).otherwise(F.lit(0)))
+    df = shared(df.withColumn("_sure", F.when(F.col("_v") > 0, sure).otherwise(F.lit(0))))
+    df = _joined(df, shared(df.groupBy(*group).agg(F.sum("_sure").alias("_given"))), group)
+    df = df.withColumn("_left", F.when(F.col("_v") > 0, F.col("_h").cast("long") - F.col("_given")).otherwise(F.lit(0)))
     # No party gets more of what is left than its share of it and one seat on either side.
     most = F.ceil(F.try_divide(F.col(votes), F.col("_v")) * (F.col("_left") + F.col("_n"))) + 1
     most = F.when((F.col("_left") > 0) & (F.col(votes) > 0), F.least(F.col("_left"), most)).otherwise(F.lit(0)).cast("int")
-    names = list(parties.columns)
-    quotients = df.where(most > 0).select(*names, "_left", F.explode(F.sequence(F.col("_sure"), F.col("_sure") + most - 1)).alias("_k"))
-    rank = F.row_number().over(by.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), *key))
-    won = quotients.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left")).groupBy(*key).agg(F.count("*").alias("_won"))
+    quotients = df.where(most > 0).select(*{*group, *key}, votes, "_left", F.explode(F.sequence(F.col("_sure"), F.col("_sure") + most - 1)).alias("_k"))
+    falling = F.struct(*group, (-F.col(votes) / (2 * F.col("_k") + 1)).alias("_q"), *[F.col(k).alias(f"_{k}") for k in key])
+    ranked = ordered_rank(quotients, falling, "_place")
+    ranked = _joined(ranked, shared(ranked.groupBy(*group).agg(F.min("_place").alias("_start"))), group)
+    won = ranked.where(F.col("_place") - F.col("_start") < F.col("_left")).groupBy(*key).agg(F.count("*").alias("_won"))
     return df.join(won, key, "left").select(*names, (F.col("_sure") + F.coalesce("_won", F.lit(0))).cast("long").alias("quota"))
 
 
@@ -122,6 +135,9 @@ def mix(
     cells = shared(cells.where("n_blocks > 0").select("sid", "shard", "n_blocks", "quota"))
     whole = F.floor(F.col("quota") / F.col("n_blocks"))
     draw = F.md5(F.concat_ws(":", F.lit(seed), "sid", "shard", "block"))
+    # Cells are few and small before their blocks are written out: they are dealt by blocks first.
+    n_blocks = cells.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
+    cells = cells.repartition(math.ceil((n_blocks + 1) / TASK), "sid", "shard")
     blocks = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
     first = F.row_number().over(Window.partitionBy("sid", "shard").orderBy(draw, "block"))
     # Where quota is twice the blocks none is left over.

@@ -1,5 +1,6 @@
 """Quality rules, SimHash and mixing against brute force."""
 
+import heapq
 import random
 import re
 from collections import Counter
@@ -174,3 +175,18 @@ def test_apportion(spark):
         for _ in range(seats if sum(votes) else 0):
             held[max(range(len(votes)), key=lambda i: (votes[i] / (2 * held[i] + 1), -i))] += 1
         assert [got[g, i] for i in range(len(votes))] == held, (g, votes, seats)
+
+
+def test_apportion_many_parties(spark):
+    """One group of thousands of parties, many of them equal."""
+    votes = [random.Random(i // 3).randint(1, 500) for i in range(5000)]
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(votes)], "g int, sid int, v double")
+    got = {r["sid"]: r["quota"] for r in mixing.apportion(df, ["g"], ["g", "sid"], "v", F.lit(7777)).collect()}
+    heap = [(-v, i, 0) for i, v in enumerate(votes)]
+    heapq.heapify(heap)
+    held = [0] * len(votes)
+    for _ in range(7777):
+        _, i, k = heapq.heappop(heap)
+        held[i] = k + 1
+        heapq.heappush(heap, (-votes[i] / (2 * k + 3), i, k + 1))
+    assert [got[i] for i in range(len(votes))] == held
