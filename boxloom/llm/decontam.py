@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,10 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <
 SEGMENT = 1 << 20
 #: Characters of test texts searched for at once; more are searched for in blocks of this size.
 BLOCK = 1 << 23
+#: Bits of the filter of test words, a power of two; words a task remembers; windows looked for at once.
+FILTER, MEMORY, WINDOWS = 1 << 25, 1 << 20, 1 << 16
 
-INDEX = "segment long, term int, n long, positions binary, ids array<long>, keys array<long>, words array<long>"
+INDEX = "segment long, term long, n long, positions binary, ids array<long>, keys array<long>, words array<long>"
 FOUND = "id long, key long, n_words long, n_hit long, n_near long, matches array<struct<item:string,first:long,last:long,exact:boolean>>"
 
 
@@ -40,34 +43,57 @@ def _unsqueeze(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1), dtype=np.int64)
 
 
+def term_of(word: bytes) -> int:
+    """A word's number in the index: 63 bits of its hash, so that no vocabulary is sent around."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word) >> 1
+
+
+def mark(words: set[bytes], bits: np.ndarray) -> None:
+    """Set the bits of test words in the filter (a byte for eight bits)."""
+    at = np.array([term_of(w) & (len(bits) * 8 - 1) for w in words], np.int64)
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
 class Tests:
-    """The windows of a block of test items, their words as numbers, and which items have them."""
+    """A block of test items: their words as places in a sorted vocabulary, and where windows start."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            for i in range(max(1, len(ids) - width + 1)) if ids else ():
-                windows.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.items = [sorted(x) for x in windows.values()]
-        self.size = np.array([len(w) for w in windows], np.int64)
-        self.terms = np.full((len(windows), width), -1, np.int64)
-        for i, w in enumerate(windows):
-            self.terms[i, : len(w)] = w
-        self.places = np.tile(np.arange(width), (len(windows), 1))
-
-    def rarest_first(self, counts: dict[int, int]) -> None:
-        """Order each window's terms by their postings in the whole index."""
-        n = np.array([counts.get(t, 0) for t in range(len(self.vocabulary))] + [np.iinfo(np.int64).max])
-        order = np.argsort(n[self.terms], axis=1, kind="stable")
-        self.terms, self.places = np.take_along_axis(self.terms, order, 1), np.take_along_axis(self.places, order, 1)
-
-
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int, segment: int = SEGMENT) -> DataFrame:
-    """Store the token postings of ``docs(id, text)`` for the test vocabulary.
-
-    The index is divided by documents. A segment has a row for each term with its positions in the
+        self.width = width
+        found = [(item, np.array([term_of(w) for w in ws], np.int64)) for item, text in items if (ws := words_of(text))]
+        self.names = sorted({item for item, _ in found})
+        place = {name: i for i, name in enumerate(self.names)}
+        # The last item's windows are read to the full width too.
+        terms = np.concatenate([t for _, t in found] + [np.zeros(width, np.int64)])
+        self.vocabulary = np.unique(terms)
+        self.tokens = np.searchsorted(self.vocabulary, terms).astype(np.int32)
+        length = np.array([len(t) for _, t in found], np.int64)
+        windows = np.maximum(length - width + 1, 1)
+        self.starts, which = _expand(np.cumsum(length) - length, windows)
+        self.size = np.minimum(length[which], width)
+        self.item = np.array([place[item] for item, _ in found], np.int32)[which]
+        self.counts = np.zeros(len(self.vocabulary), np.int64)
+
+    def count(self, counts: dict[int, int]) -> None:
+        """Take each word's number of postings in the whole index."""
+        self.counts = np.array([counts.get(t, 0) for t in self.vocabulary.tolist()], np.int64)
+
+    def rarest_first(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows a part at a time: number of the first, terms (-1 past the end) and their places from the rarest on, sizes."""
+        n = np.append(self.counts, np.iinfo(np.int64).max)
+        for at in range(0, len(self.starts), WINDOWS):
+            size = self.size[at : at + WINDOWS]
+            places = np.arange(self.width)
+            terms = np.where(places < size[:, None], self.tokens[self.starts[at : at + WINDOWS, None] + places], -1).astype(np.int64)
+            order = np.argsort(n[terms], axis=1, kind="stable")
+            yield at, np.take_along_axis(terms, order, 1), order, size
+
+
+def build_index(docs: DataFrame, bits: np.ndarray, gap: int, segment: int = SEGMENT) -> DataFrame:
+    """Store the token postings of ``docs(id, text)`` for words that pass the filter ``bits``.
+
+    All test words pass, however many there are, and a few others that are never asked for. The index is divided by documents. A segment has a row for each term with its positions in the
     segment's words, and a row (term -1) with the ids, text hashes and lengths of its documents in
     order; ``gap`` positions lie between documents, so that no phrase crosses them.
     """
@@ -80,10 +106,17 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int, segment
         at = 0
 
         class Seen(dict):
-            def __missing__(self, _: bytes) -> int:
-                return -1
+            """Words met, with their terms, or -1 for those that the filter holds back."""
 
-        seen = Seen(vocabulary)
+            def __missing__(self, word: bytes) -> int:
+                if len(self) >= MEMORY:
+                    self.clear()
+                term = term_of(word)
+                bit = term & (len(bits) * 8 - 1)
+                self[word] = term if bits[bit >> 3] >> (bit & 7) & 1 else -1
+                return self[word]
+
+        seen = Seen()
 
         def flush() -> pa.RecordBatch:
             term, place = np.concatenate(terms), np.concatenate(places)
@@ -103,7 +136,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int, segment
                 [list(keys), *[None] * k],
                 [list(words), *[None] * k],
             ]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             names = ["segment", "term", "n", "positions", "ids", "keys", "words"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
@@ -111,7 +144,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int, segment
             for i, t in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True):
                 text = t.as_py() or b""
                 words = words_of(text)
-                ids = np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
+                ids = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
                 known = np.flatnonzero(ids >= 0)
                 terms.append(ids[known])
                 places.append(known + at)
@@ -133,41 +166,42 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts[which] + inner, which
 
 
-def _search(tests: Tests, keys: np.ndarray, near: int, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _search(part: tuple, keys: np.ndarray, near: int, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Exact and near matches, each as windows and their start positions.
 
     ``keys`` are the segment's postings, term << 40 | position, in order. From each window's
     rarest term its whole posting list gives the candidates; each further term's list, shifted by
     its place, is intersected with what is left.
     """
-    rare = tests.terms[:, 0]
+    at, terms, places, size = part
+    rare = terms[:, 0]
     low = np.searchsorted(keys, rare << 40)
     rows, window = _expand(low, np.searchsorted(keys, (rare + 1) << 40) - low)
-    start = (keys[rows] & ((1 << 40) - 1)) - tests.places[window, 0]
+    start = (keys[rows] & ((1 << 40) - 1)) - places[window, 0]
     first = start >= 0
     window, start = window[first], start[first]
 
     def kept(window: np.ndarray, start: np.ndarray, k: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        want = (tests.terms[window, k] << 40) | np.maximum(start + tests.places[window, k] - slop, 0)
+        want = (terms[window, k] << 40) | np.maximum(start + places[window, k] - slop, 0)
         found = np.searchsorted(keys, want)
-        there = (keys[np.minimum(found, len(keys) - 1)] <= want + 2 * slop) & (found < len(keys)) | (tests.size[window] <= k)
+        there = (keys[np.minimum(found, len(keys) - 1)] <= want + 2 * slop) & (found < len(keys)) | (size[window] <= k)
         return window[there], start[there]
 
     w, s = window, start
-    for k in range(1, tests.terms.shape[1]):
+    for k in range(1, terms.shape[1]):
         if len(w):
             w, s = kept(w, s, k, 0)
     if not near:
-        return w, s, w[:0], s[:0]
-    for k in range(1, min(near, tests.terms.shape[1])):
+        return w + at, s, w[:0], s[:0]
+    for k in range(1, min(near, terms.shape[1])):
         if len(window):
             window, start = kept(window, start, k, slop)
-    return w, s, window, start
+    return w + at, s, window + at, start
 
 
 def search(index: DataFrame, tests: Tests, gap: int, near: int, slop: int) -> DataFrame:
     """``FOUND`` for each document of the index: runs of matched words by item, and how many words they cover."""
-    items, size = tests.items, tests.size
+    names, item_of, size = tests.names, tests.item, tests.size
 
     def covered(runs: list[tuple[int, int]]) -> int:
         total, end = 0, 0
@@ -178,13 +212,14 @@ def search(index: DataFrame, tests: Tests, gap: int, near: int, slop: int) -> Da
     def run(found: pa.Table) -> pa.Table:
         found = found.sort_by("term")
         head = found.slice(0, 1).to_pylist()[0]
-        term, data = found.column("term").to_numpy()[1:].astype(np.int64), found.column("positions").to_pylist()[1:]
+        term, data = found.column("term").to_numpy()[1:], found.column("positions").to_pylist()[1:]
+        term = np.searchsorted(tests.vocabulary, term)
         keys = np.concatenate([(t << 40) | _unsqueeze(d) for t, d in zip(term, data, strict=True)] or [np.empty(0, np.int64)])
         words = np.array(head["words"], np.int64)
         bases = np.cumsum(words + gap) - words - gap
         runs: dict[int, dict[tuple[str, bool], list[list[int]]]] = {}
         if len(keys) and len(size):
-            w, s, w2, s2 = _search(tests, keys, near, slop)
+            w, s, w2, s2 = (np.concatenate(x) for x in zip(*[_search(part, keys, near, slop) for part in tests.rarest_first()], strict=True))
             # A near match may reach over the end of its text, and one that is exact isn't also near.
             doc2 = np.maximum(np.searchsorted(bases, s2, "right") - 1, 0)
             inside = s2 + size[w2] <= bases[doc2] + words[doc2]
@@ -194,8 +229,7 @@ def search(index: DataFrame, tests: Tests, gap: int, near: int, slop: int) -> Da
                 docs = np.searchsorted(bases, ss[order], "right") - 1
                 for x, p, d in zip(ws[order].tolist(), ss[order].tolist(), docs.tolist(), strict=True):
                     a = p - int(bases[d])
-                    for item in items[x]:
-                        runs.setdefault(d, {}).setdefault((item, exact), []).append([a, a + int(size[x])])
+                    runs.setdefault(d, {}).setdefault((names[item_of[x]], exact), []).append([a, a + int(size[x])])
         columns: dict[str, list] = {"n_hit": [0] * len(words), "n_near": [0] * len(words), "matches": [[] for _ in words]}
         for d, by_item in runs.items():
             for (item, exact), spans in sorted(by_item.items()):
@@ -232,7 +266,7 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     width: int = 13,
-    near: int = 6,
+    near: int = 0,
     slop: int = 2,
     segment: int = SEGMENT,
     block: int = BLOCK,
@@ -241,12 +275,13 @@ def contamination(
 
     A window is ``width`` consecutive words of a test item, or all words of a shorter one. Matches
     are runs of document words inside windows: exact, or near (the window's ``near`` rarest terms
-    all within ``slop`` of their places). ``n_hit`` and ``n_near`` count the words so covered.
+    all within ``slop`` of their places; 0: none are looked for). ``n_hit`` and ``n_near`` count the words so covered.
 
-    Training postings are stored in the shared folder, once for each block of test texts; how
-    often a term occurs comes from adding up the stored lists. Test texts are brought to the
-    driver a block at a time, each of about ``block`` characters whatever the table's size, and
-    blocks of any number are merged, so nothing sent to executors grows with either table.
+    Training postings are stored in the shared folder, once for all tests: words are numbered by
+    hash, and which are test words comes from a filter of ``FILTER`` bits. Test texts are brought to
+    the driver a block at a time, each of about ``block`` characters whatever the table's size, and
+    looked for in the stored lists of their own words; how often a term occurs comes from adding
+    those up. Blocks of any number are merged, so nothing sent to executors grows with either table.
 
     Null texts have no words and no matches. A null item id is the empty string; items that share
     an id are one item. Repeated rows stay; in more than one block, rows with equal id and text
@@ -257,14 +292,23 @@ def contamination(
     texts = texts.where(F.col("text").isNotNull())
     total = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / block))
+    part = lambda i: [(r["item"], r["text"].encode()) for r in texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()]
+    bits = np.zeros(FILTER // 8, np.uint8)
+    first = None
+    for i in range(n):
+        items = part(i)
+        first = items if first is None else first
+        mark({w for _, text in items for w in words_of(text)}, bits)
+    gap = width + 2 * slop
+    index = shared(build_index(rows, bits, gap, segment))
     found = []
     for i in range(n):
-        part = texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        own = Tests([(r["item"], r["text"].encode()) for r in part.collect()], width)
-        index = shared(build_index(rows, own.vocabulary, width + 2 * slop, segment))
-        counts = index.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n")).collect()
-        own.rarest_first({r["term"]: r["n"] for r in counts})
-        found.append(search(index, own, width + 2 * slop, near, slop))
+        own = Tests(first if i == 0 else part(i), width)
+        # No more rows than a block has words.
+        known = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"term": own.vocabulary})))
+        lists = index.where("term >= 0").join(known, "term", "left_semi")
+        own.count({r["term"]: r["n"] for r in lists.groupBy("term").agg(F.sum("n").alias("n")).collect()})
+        found.append(search(index.where("term < 0").unionByName(lists), own, gap, near, slop))
     if n == 1:
         return found[0]
     matches = found[0]

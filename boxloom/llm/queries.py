@@ -60,7 +60,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of words behind the verdicts, exact and near."""
-    rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=6)
     return rows.select(F.col("id").alias("doc_id"), F.explode("matches").alias("m")).select("doc_id", "m.item", "m.first", "m.last", "m.exact")
 
 

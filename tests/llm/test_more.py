@@ -167,7 +167,7 @@ def test_decontamination_near(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my nu"
     moved = item.replace("my nu", "my very nu").replace("zeta", "ZETA,")
     df = frame(spark, [moved, "alpha beta " * 40, item])
-    got = {r["id"]: r for r in decontam.contamination(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    got = {r["id"]: r for r in decontam.contamination(df, spark.createDataFrame([(1, item)], "item_id long, text string"), near=6).collect()}
     assert [(got[i]["n_hit"], got[i]["n_near"]) for i in range(3)] == [(0, 13), (0, 0), (13, 0)]
 
 
