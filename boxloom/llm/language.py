@@ -20,6 +20,11 @@ TRUST = 100.0
 #: each confusion in a declaration's, and of each bucket in a language's.
 HOST_PRIOR, TOP_PRIOR, CONFUSION, BUCKET_PRIOR = 20.0, 1.0, 1.0, 0.1
 LANGUAGE = r"^[a-z]{2,3}$"
+#: Share of all declarations that a language needs to be one: made-up codes have less, and so there
+#: are at most a thousand.
+LEAST_SHARE = 0.001
+#: Halves of the rows: a row's text is judged by what the other half declares.
+FOLDS = 2
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -75,56 +80,68 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"&[a-zA-Z#0-9]+;", " ")
 
 
-def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages that rows declare, and each one's log shares of the trigram buckets, from all rows.
+def train(rows: DataFrame, least_share: float = LEAST_SHARE) -> tuple[list[str], np.ndarray]:
+    """Languages that rows declare, and for each fold each one's log shares of the trigram buckets in all rows of other folds.
 
-    Declarations are the labels. Tasks add up counts and send a row a language.
+    Declarations are the labels. Tasks add up counts and send a row a language, fold and bucket;
+    bucket -1 counts rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        counts: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                got = np.bincount(trigrams(text.as_py() or b""), minlength=BUCKETS)
-                counts[lang] = counts[lang] + got if lang in counts else got
-        for lang, n in counts.items():
+            columns = (batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()))
+            for lang, fold, text in zip(*columns, strict=True):
+                got = np.bincount(trigrams(text.as_py() or b"") + 1, minlength=BUCKETS + 1)
+                got[0] = 1
+                key = lang, fold
+                counts[key] = counts[key] + got if key in counts else got
+        for (lang, fold), n in counts.items():
             full = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(n[full], pa.int64())], ["lang", "bucket", "n"])
-
-    counted = rows.where(F.col("declared").rlike(LANGUAGE)).select("declared", "text").mapInArrow(run, "lang string, bucket int, n long")
-    # A declaration has two or three letters, so this has a bounded number of rows.
-    found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).orderBy("lang").collect()
-    langs = [r["lang"] for r in found]
-    table = np.full((len(langs), BUCKETS), BUCKET_PRIOR)
-    for i, r in enumerate(found):
-        table[i, r["b"]] += r["n"]
-    return langs, np.log(table / table.sum(axis=1, keepdims=True))
+            k = len(full)
+            columns = [pa.array([lang] * k, pa.string()), pa.array([fold] * k, pa.int32()), pa.array(full - 1, pa.int32()), pa.array(n[full], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "fold", "bucket", "n"])
+
+    counted = rows.where(F.col("declared").rlike(LANGUAGE)).select("declared", "fold", "text").mapInArrow(run, "lang string, fold int, bucket int, n long")
+    # A declaration has two or three letters, so these have a bounded number of rows.
+    counted = shared(counted.groupBy("lang", "fold", "bucket").agg(F.sum("n").alias("n")))
+    seen = {r["lang"]: r["n"] for r in counted.where("bucket = -1").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(x for x, n in seen.items() if n >= least_share * sum(seen.values()))
+    table = np.full((FOLDS, len(langs), BUCKETS), BUCKET_PRIOR, np.float32)
+    found = counted.where(F.col("bucket") >= 0).where(F.col("lang").isin(langs) if langs else F.lit(False))
+    for r in found.groupBy("lang", "fold").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).collect():
+        for fold in range(FOLDS):
+            if fold != r["fold"]:
+                table[fold, langs.index(r["lang"]), r["b"]] += np.array(r["n"], np.float32)
+    return langs, np.log(table / table.sum(axis=2, keepdims=True))
 
 
 def text_likelihoods(rows: DataFrame, langs: list[str], logs: np.ndarray, trust: float = TRUST) -> DataFrame:
-    """``rows`` without their text, with ``ll`` (tempered log likelihood by language) and ``n_grams``."""
-    table = logs.astype(np.float64).T.copy()
+    """``rows`` without their text and fold, with ``ll`` (tempered log likelihood by language) and ``n_grams``."""
+    tables = logs.transpose(0, 2, 1).copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lls, sizes = [], []
-            for text in batch.column("text").cast(pa.large_binary()):
-                grams = trigrams(text.as_py() or b"")
+            for text, fold in zip(batch.column("text").cast(pa.large_binary()), batch.column("fold").to_pylist(), strict=True):
+                grams, table = trigrams(text.as_py() or b""), tables[fold]
                 n = len(grams)
                 counts = np.bincount(grams, minlength=BUCKETS) if n > BUCKETS else None
-                ll = counts @ table if counts is not None else table[grams].sum(axis=0) if n else np.zeros(len(langs))
+                ll = counts @ table.astype(np.float64) if counts is not None else table[grams].sum(axis=0, dtype=np.float64) if n else np.zeros(len(langs))
                 lls.append((ll * min(1.0, trust / n) if n else ll).tolist())
                 sizes.append(n)
-            own = batch.drop_columns(["text"])
+            own = batch.drop_columns(["text", "fold"])
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(lls, pa.list_(pa.float64())), pa.array(sizes, pa.int64())], [*own.schema.names, "ll", "n_grams"])
 
     return rows.mapInArrow(run, "id long, declared string, suffix string, host string, parent string, ll array<double>, n_grams long")
 
 
-def identify(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+def identify(rows: DataFrame, threshold: float = 0.5, least_share: float = LEAST_SHARE) -> DataFrame:
     """``id, language, posterior, text_language, declared, host, n_grams, kept`` for each row of ``evidence``.
 
-    Text likelihoods come from trigram shares of the declared languages. Then three tables are
+    Text likelihoods come from trigram shares of the declared languages, those that ``least_share``
+    of all declarations name; no row's text is judged by its own declaration, but by those of the
+    other half of the rows (dealt by a hash of id and text). Then three tables are
     added up over all rows, by the language that text alone makes likeliest: how often it stands
     with each declaration, with each address suffix, and with each host, whose shares are smoothed
     towards its parent's, and those towards the whole corpus's. The posterior multiplies host
@@ -136,7 +153,8 @@ def identify(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     language has a posterior below ``threshold``. Ties go to the first language by name. Null ids
     and repeated rows stay; without any declaration nothing can be learned and no row is kept.
     """
-    langs, logs = train(rows)
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("id", "text"), F.lit(FOLDS)).cast("int"))
+    langs, logs = train(rows, least_share)
     if not langs:
         return rows.select("id", "declared", "host").selectExpr(
             "id", "cast(null as string) language", "cast(0 as double) posterior", "cast(null as string) text_language", "declared", "host", "cast(0 as bigint) n_grams", "false kept"
@@ -147,28 +165,33 @@ def identify(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     scored = shared(text_likelihoods(rows, langs, logs).withColumn("best", F.when(F.col("n_grams") > 0, best(F.col("ll")))))
     seen = scored.where("best is not null")
 
-    def shares(key: str, parent: Column, weight: float) -> DataFrame:
-        """For each key: its count and smoothed share of each language; ``parent`` gives the shares smoothed towards."""
-        each = [F.sum(F.when(F.col("best") == i + 1, 1).otherwise(0)) for i in range(k)]
-        counts = seen.where(F.col(key).isNotNull()).groupBy(key, *(["parent"] if key == "host" else [])).agg(F.array(*each).alias("c"))
-        total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-        if key == "host":
-            counts = counts.join(parents, "parent", "left")
+    def tally(*keys: str) -> DataFrame:
+        """For each key: ``c``, its rows of each language, added up by key and language first."""
+        each = seen.where(F.col(keys[0]).isNotNull()).groupBy(*keys, "best").agg(F.count("*").alias("n"))
+        held = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("m"))
+        return held.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("c"))
+
+    def by_language(rows: DataFrame) -> list[int]:
+        found = {r["best"]: r["n"] for r in rows.groupBy("best").agg(F.count("*").alias("n")).collect()}
+        return [found.get(i + 1, 0) for i in range(k)]
+
+    def shares(counts: DataFrame, key: str, parent: Column, weight: float) -> DataFrame:
+        """For each key: its smoothed share of each language; ``parent`` gives the shares smoothed towards."""
+        total = F.aggregate("c", F.lit(0).cast("long"), lambda x, y: x + y)
         mixed = F.zip_with("c", parent, lambda n, p: n + p * weight)
-        return counts.select(key, F.transform(mixed, lambda x: x / (total(F.col("c")) + weight)).alias(f"{key}_share"))
+        return counts.withColumn("total", total).select(key, F.transform(mixed, lambda x: x / (F.col("total") + weight)).alias(f"{key}_share"))
 
-    tops = seen.agg(*[F.coalesce(F.sum(F.when(F.col("best") == i + 1, 1).otherwise(0)), F.lit(0)) for i in range(k)]).first()
+    tops = by_language(seen)
     top = F.array(*[F.lit((n + TOP_PRIOR) / (sum(tops) + TOP_PRIOR * k)) for n in tops])
-    parents = shares("parent", top, HOST_PRIOR)
-    hosts = shares("host", F.coalesce("parent_share", top), HOST_PRIOR)
+    parents = shares(tally("parent"), "parent", top, HOST_PRIOR)
+    hosts = shares(tally("host", "parent").join(parents, "parent", "left"), "host", F.coalesce("parent_share", top), HOST_PRIOR)
 
     def likelihoods(key: str) -> DataFrame:
         """For each value: its log share among the rows of each language."""
-        each = [F.sum(F.when(F.col("best") == i + 1, 1).otherwise(0)) for i in range(k)]
-        values = seen.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*each).alias("c"))
-        size = values.agg(F.count("*"), *[F.coalesce(F.sum(F.col("c")[i]), F.lit(0)) for i in range(k)]).first()
-        of = F.array(*[F.log((F.col("c")[i] + CONFUSION) / F.lit(float(n + CONFUSION * max(1, size[0])))) for i, n in enumerate(size[1:])])
-        return values.select(key, of.alias(f"{key}_log"))
+        values = shared(tally(key))
+        n, size = values.count(), by_language(seen.where(F.col(key).isNotNull()))
+        below = F.array(*[F.lit(float(x + CONFUSION * max(1, n))) for x in size])
+        return values.select(key, F.zip_with("c", below, lambda c, d: F.log((c + CONFUSION) / d)).alias(f"{key}_log"))
 
     out = scored.join(hosts, "host", "left").join(likelihoods("declared"), "declared", "left").join(likelihoods("suffix"), "suffix", "left")
     zero = F.array(*[F.lit(0.0)] * k)

@@ -198,6 +198,86 @@ def test_language_fusion(spark):
     assert len(none) == len(rows) and not any(r["kept"] for r in none)
 
 
+def brute_posteriors(rows, k=1):
+    """Posterior of each language for (text, fold, declared, suffix, host, parent), from counts, one row after the other."""
+    langs = sorted({r[2] for r in rows if r[2]})
+    logs = []
+    for fold in (0, 1):
+        counts = {x: Counter() for x in langs}
+        for t, f, d, *_ in rows:
+            if d and f != fold:
+                counts[d].update(language.trigrams((t or "").encode()).tolist())
+        logs.append({x: (c, sum(c.values()) + language.BUCKET_PRIOR * language.BUCKETS) for x, c in counts.items()})
+    lls, best = [], []
+    for t, f, *_ in rows:
+        g = language.trigrams((t or "").encode()).tolist()
+        ll = [sum(math.log((logs[f][x][0][b] + language.BUCKET_PRIOR) / logs[f][x][1]) for b in g) * min(1, language.TRUST / max(1, len(g))) for x in langs]
+        lls.append(ll)
+        best.append(ll.index(max(ll)) if g else None)
+    n = len(langs)
+    seen = [(r, b) for r, b in zip(rows, best, strict=True) if b is not None]
+    top = [(sum(b == i for _, b in seen) + 1) / (len(seen) + n) for i in range(n)]
+
+    def smooth(own, up):
+        return [(sum(b == i for b in own) + 20 * up[i]) / (len(own) + 20) for i in range(n)]
+
+    def likelihood(place, value):
+        values = {r[place] for r, b in seen if r[place] is not None}
+        if value not in values:
+            return [0.0] * n
+        return [math.log((sum(r[place] == value and b == i for r, b in seen) + 1) / (sum(r[place] is not None and b == i for r, b in seen) + len(values))) for i in range(n)]
+
+    out = []
+    for r, ll, b in zip(rows, lls, best, strict=True):
+        if b is None:
+            out.append(None)
+            continue
+        up = smooth([c for q, c in seen if q[5] == r[5]], top) if r[5] is not None else top
+        prior = smooth([c for q, c in seen if q[4] == r[4]], up) if r[4] is not None else top
+        joint = [math.log(p) + x + y + z for p, x, y, z in zip(prior, ll, likelihood(2, r[2]), likelihood(3, r[3]), strict=True)]
+        at = joint.index(max(joint))
+        out.append((langs[at], 1 / sum(math.exp(x - joint[at]) for x in joint)))
+    return out
+
+
+def test_language_posteriors(spark):
+    """Posteriors are those of the fused evidence, counted again: declaration, suffix, host and its parent."""
+    rng = random.Random(8)
+    lex = {"en": "the and of that with from this", "de": "der und die das mit von nicht", "fr": "le la et les des une pour"}
+    rows = []
+    for i in range(90):
+        lang = rng.choice(list(lex))
+        text = " ".join(rng.choices(lex[lang].split() + ["xx", "zq"], k=rng.randint(1, 30))) if i % 15 else None
+        host = rng.choice([f"{rng.choice('ab')}.{lang}.org", f"www.{lang}.{lang}", "mix.example.com"])
+        rows.append((i, text, rng.choice([lang, lang, None, "en"]), f"http://{host}/x" if i % 7 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, url string")
+    given = language.evidence(df, declared=F.col("lang"), url=F.col("url"))
+    folds = {r["id"]: r for r in given.withColumn("fold", F.pmod(F.xxhash64("id", "text"), F.lit(2))).collect()}
+    held = [(t, folds[i]["fold"], folds[i]["declared"], folds[i]["suffix"], folds[i]["host"], folds[i]["parent"]) for i, t, *_ in rows]
+    got = {r["id"]: r for r in language.identify(given).collect()}
+    for (i, *_), want in zip(rows, brute_posteriors(held), strict=True):
+        if want is None:
+            assert got[i]["language"] is None and not got[i]["kept"]
+        else:
+            assert got[i]["language"] == want[0] and got[i]["posterior"] == pytest.approx(want[1], rel=1e-3), i
+
+
+def test_language_hidden(spark):
+    """Rows whose declaration is hidden, and those with made-up codes, get their language from the rest."""
+    truth = dict(rows_of("select doc_id, lang FROM documents;", "/root/testdata/sf0.01"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    told = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("q"), F.chr(97 + F.col("doc_id") % 26), F.chr(97 + F.floor(F.col("doc_id") / 26) % 26))).otherwise(F.col("lang"))
+    got = language.identify(language.evidence(docs, declared=told, host=F.col("source")), least_share=0.01).collect()
+    hidden = [r for r in got if r["id"] % 3 < 2]
+    assert sum(r["language"] == truth[r["id"]] for r in hidden) >= 0.95 * len(hidden)
+
+
+def test_language_long_text(spark):
+    df = spark.createDataFrame([(i, w * 200_000, lang) for i, (w, lang) in enumerate([("the and ", "en"), ("der und ", "de")] * 4)], "doc_id long, text string, lang string")
+    got = {r["id"]: r["text_language"] for r in language.identify(language.evidence(df, declared=F.col("lang"))).collect()}
+    assert got == {i: "de" if i % 2 else "en" for i in range(8)}
+
+
 def test_classifier_query(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in QUERIES["op7_quality_classifier"](spark, sf).collect()}
