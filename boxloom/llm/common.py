@@ -23,13 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage in the cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is set only where none is
-    configured. Checkpoint files survive the loss of executors, unlike local checkpoints, and
+    The folder is the session's ``spark.checkpoint.dir``; where none is configured, a temporary one
+    on a single machine, and an error on a cluster. Checkpoint files survive the loss of executors, unlike local checkpoints, and
     Spark deletes them when the frame is no longer referenced and its cleaner is so configured.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="boxloom-"))
     return df.checkpoint()
 

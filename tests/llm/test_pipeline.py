@@ -50,11 +50,31 @@ def test_stages(spark):
 def test_odd_rows(spark):
     rows = [(1, None, None, None, None), (1, "same id here", "en", "s", 1), (None, "no id " * 30, "en", None, 2), (2, "", "de", "s", 0), (3, "a b c " * 50, "en", "t", 3), (3, "a b c " * 50, "en", "t", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("id", F.lit("clash")).withColumn("size", F.lit(0))
+    want = {
+        "language": [(1, "same id here"), (3, "a b c " * 50), (3, "a b c " * 50), (None, "no id " * 30)],
+        "lines": [(1, "same id here"), (3, "a b c " * 50), (3, "a b c " * 50), (None, "no id " * 30)],
+        "near duplicates": [(1, "same id here"), (3, "a b c " * 50), (None, "no id " * 30)],
+        "decontamination": [(1, "same id here"), (3, "a b c " * 50), (None, "no id " * 30)],
+    }
     for start in (docs, docs.limit(0)):
         now = start
-        for _, stage in P.STAGES:
+        for name, stage in P.STAGES:
             now = P.shared(stage(spark, now, SF))
-        assert now.count() <= start.count()
+            got = sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=str)
+            if name in want:
+                assert got == (want[name] if start is docs else [])
+        assert {r["doc_id"] for r in now.collect()} <= {1, 3, None}
+
+
+def test_shared_ids(spark):
+    """A text that goes doesn't take another with its id along."""
+    item = duckdb.sql(f"select text from '{SF}/benchmark.parquet' limit 1").fetchall()[0][0]
+    rows = [(1, item, "en", "s", 1), (1, "quite another text of its own", "en", "s", 1), (None, item, "en", "s", 1), (2, "12 34", "en", "s", 1), (2, "this has letters", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clean = P.decontaminate(spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in clean) == [(1, rows[1][1]), (2, "12 34"), (2, "this has letters")]
+    lang = P.identify_language(spark, docs, SF).collect()
+    assert (2, "this has letters") in {(r["doc_id"], r["text"]) for r in lang} and len(lang) == 4
 
 
 def test_run_is_registered(spark):
