@@ -12,10 +12,13 @@ from boxloom.functions.vectors import hamming, l2_distance
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared checkpoint folder, or a local one where none is configured."""
+    """Cut lineage in the cluster's shared checkpoint folder; on a single machine a temporary one serves where none is configured."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="boxloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="boxloom-"))
     return df.checkpoint()
 
 
