@@ -13,21 +13,27 @@ BROADCAST_IDS = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but those whose id is in ``ids(id)``; rows without an id stay."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_key``, a hash of id and text: rows that share only an id are judged apart."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
+
+
+def _without(docs: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
+    """``docs`` but those whose ``on`` is in ``ids(id)``; rows without one stay."""
     ids = shared(ids.where("id is not null").distinct())
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(few, docs.doc_id == ids.id, "left_anti").select(*COLUMNS)
+    return docs.join(few, docs[on] == ids.id, "left_anti").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or with no language likelier than not, go.
 
-    Declared language and source are the evidence beside the text. Rows that share an id share a
-    verdict; rows without one stay. An empty table stays empty.
+    Declared language and source are the evidence beside the text. Rows that share id and text
+    share a verdict; rows without an id are judged like others. An empty table stays empty.
     """
-    found = language.identify(language.evidence(docs, declared=F.col("lang"), host=F.col("source")))
-    return _without(docs, found.where("not kept").select("id"))
+    rows = _keyed(docs)
+    found = language.identify(language.evidence(rows, "row_key", declared=F.col("lang"), host=F.col("source")))
+    return _without(rows, found.where("not kept").select("id"), "row_key")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +58,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth of their words or more inside benchmark windows go."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), near=0)
-    return _without(docs, found.where(decontam.contaminated()).select("id"))
+    """Documents with a twentieth of their words or more inside benchmark windows go, rows without an id too."""
+    rows = _keyed(docs)
+    found = decontam.contamination(rows, table(spark, sf_dir, "benchmark"), "row_key")
+    return _without(rows, found.where(decontam.contaminated()).select("id"), "row_key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
