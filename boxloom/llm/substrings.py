@@ -17,8 +17,9 @@ THRESHOLD = 200
 GRAM = 120
 #: Bytes of a text handled at once; a longer one is cut into pieces whose windows overlap.
 PIECE = 1 << 20
-#: Rows that a task gathers before it looks for repeats among them.
-CHUNK = 1 << 18
+#: Rows that a task gathers before it looks for repeats among them, and how many of them may share
+#: a first digit.
+CHUNK, HOT = 1 << 18, 64
 
 _WORD = np.uint64
 _RANDOM = np.random.default_rng(20240229)
@@ -111,14 +112,34 @@ def _resolve(rows: list[np.ndarray]) -> list[np.ndarray]:
     return [a, b, r1, r2, at, n, weight]
 
 
+def _split(rows: list[np.ndarray], hot: int) -> list[np.ndarray]:
+    """Part rows of a first digit that more than ``hot`` of them share; adds a column that marks them.
+
+    Such a row goes on under a digit that its content is mixed into, so rows of equal content still
+    meet and no task gets the others. One marker with no suffixes stays under the old digit: it
+    tells what other chunks left there that there are other contents.
+    """
+    a, b, r1, r2, at, n, weight = rows
+    order, group = _groups(a)
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    size = np.diff(np.append(starts, len(order)))
+    crowd = order[size[group] > hot]
+    old = a[order[starts[size > hot]]]
+    a, mark = a.copy(), np.zeros(len(a), np.int64)
+    mixed = (a[crowd].view(_WORD) * _WORD(_BASE) + b[crowd].view(_WORD)) * _WORD(0xD6E8FEB86659FD93)
+    a[crowd], mark[crowd] = (mixed ^ (mixed >> _WORD(29))).view(np.int64), 1
+    none = np.zeros(len(old), np.int64)
+    return [np.concatenate(x) for x in ((a, old), (b, none), (r1, none), (r2, none), (at, none), (n, none), (weight, none), (mark, none + 1))]
+
+
 SUFFIXES = "a long, b long, r1 long, r2 long, at long, n long, weight long"
 NAMES = ["a", "b", "r1", "r2", "at", "n", "weight"]
 
 
 class _Gathered:
-    def __init__(self) -> None:
+    def __init__(self, hot: int | None = None) -> None:
         self.parts: list[list[np.ndarray]] = []
-        self.size = 0
+        self.size, self.hot = 0, hot
 
     def add(self, *columns: np.ndarray) -> None:
         self.parts.append(list(columns))
@@ -126,8 +147,10 @@ class _Gathered:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.size:
-            rows = _resolve([np.concatenate(c) for c in zip(*self.parts, strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in rows], NAMES)
+            rows, names = _resolve([np.concatenate(c) for c in zip(*self.parts, strict=True)]), NAMES
+            if self.hot is not None:
+                rows, names = _split(rows, self.hot), [*NAMES, "hot"]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in rows], names)
         self.parts, self.size = [], 0
 
 
@@ -151,13 +174,13 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, r1 long, r2 long, z binary")
 
 
-def first_pass(rows: DataFrame, threshold: int, gram: int) -> DataFrame:
-    """Runs of suffixes by first digit ``a``, with the run's content hash ``b``."""
+def first_pass(rows: DataFrame, threshold: int, gram: int, hot: int = HOT) -> DataFrame:
+    """Runs of suffixes by first digit ``a``, with the run's content hash ``b``; ``hot`` marks those parted by ``_split``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        passes, found, digest = Passes(threshold, gram), _Gathered(), xxhash.xxh3_64_intdigest
+        passes, found, digest = Passes(threshold, gram), _Gathered(hot), xxhash.xxh3_64_intdigest
         for batch in batches:
             columns = (batch.column("r1").to_pylist(), batch.column("r2").to_pylist(), batch.column("text").cast(pa.large_binary()))
             for r1, r2, t in zip(*columns, strict=True):
@@ -171,7 +194,7 @@ def first_pass(rows: DataFrame, threshold: int, gram: int) -> DataFrame:
                         yield from found.flush()
         yield from found.flush()
 
-    return rows.select("r1", "r2", "text").mapInArrow(run, SUFFIXES)
+    return rows.select("r1", "r2", "text").mapInArrow(run, SUFFIXES + ", hot long")
 
 
 def last_pass(opened: DataFrame, threshold: int) -> DataFrame:
@@ -197,22 +220,23 @@ def last_pass(opened: DataFrame, threshold: int) -> DataFrame:
     return opened.select("r1", "r2", "z", "runs").mapInArrow(run, SUFFIXES)
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``r1, r2, runs`` of each row with a window that starts elsewhere too; a run is (first start, number of starts).
 
     Suffixes are ordered only through their first ``threshold`` bytes, in passes from the leading
     digit on, and leave as soon as they are settled. The first pass sorts runs of neighbouring
     suffixes by first digit; a digit that occurs once leaves. In the second, runs of equal content
     are repeats as a whole. Only where a digit has different contents are one run of each content
-    opened and its suffixes sorted by all their bytes; equal groups there are repeated windows.
+    opened and its suffixes sorted by all their bytes; equal groups there are repeated windows. A
+    digit that more than ``hot`` rows of a chunk share surely has, so its rows part before they are dealt.
     """
     rows = _row_keys(docs, id_col, text_col)
     by, same = Window.partitionBy("a"), Window.partitionBy("a", "b")
-    runs = first_pass(rows, threshold, gram)
-    runs = runs.withColumns({"low": F.min("b").over(by), "high": F.max("b").over(by)})
+    runs = first_pass(rows, threshold, gram, hot)
+    runs = runs.withColumns({"low": F.min("b").over(by), "high": F.max("b").over(by), "hot": F.max("hot").over(by)})
     runs = runs.withColumns({"total": F.sum("weight").over(same), "nth": F.row_number().over(same.orderBy("r1", "r2", "at"))})
-    kept = runs.where("total > 1 or (low <> high and nth = 1)")
-    kept = shared(kept.selectExpr("r1", "r2", "at", "n", "total as weight", "low <> high and nth = 1 as opened"))
+    kept = runs.withColumn("opened", F.expr("(low <> high or hot = 1) and nth = 1")).where("n > 0 and (total > 1 or opened)")
+    kept = shared(kept.selectExpr("r1", "r2", "at", "n", "total as weight", "opened"))
     # From here on the checkpoint holds what is left of the first pass, and its shuffle can go.
     del runs
     release(docs.sparkSession)
@@ -226,7 +250,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     return found
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``id, n_bytes, n_removed, spans, kept`` for each row: removed byte runs and the bytes that stay.
 
     A byte goes if some ``threshold``-byte string over it also starts anywhere else in the table,
@@ -236,7 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty table gives an empty result; other columns are ignored. ``kept`` is binary, as cuts
     may split a character.
     """
-    found = repeated(docs, id_col, text_col, threshold, gram)
+    found = repeated(docs, id_col, text_col, threshold, gram, hot)
     rows = _packed(_row_keys(docs, id_col, text_col)).join(found, ["r1", "r2"], "left").select("id", "z", "runs")
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.binary()]
     names = ["id", "n_bytes", "n_removed", "spans", "kept"]

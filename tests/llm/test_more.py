@@ -478,12 +478,29 @@ def test_substring_odd_rows(spark, alphabet, seed, monkeypatch):
     texts += [t[: len(t) // 2] + "#" + t[len(t) // 2 :] for t in base[3:8]] + [base[9], base[9]]
     df = spark.createDataFrame([(i % 20 if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
     df = df.withColumn("at", F.lit("x")).withColumn("a", F.lit(1))
-    got = substrings.remove_repeats(df, threshold=20, gram=8).collect()
     want = brute_removed(texts, 20)
-    assert sorted((r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == sorted(want)
+    for hot in (substrings.HOT, 2, 0):
+        got = substrings.remove_repeats(df, threshold=20, gram=8, hot=hot).collect()
+        assert sorted((r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == sorted(want)
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_substring_common_phrase(spark):
+    """A phrase shorter than a window in every text, in ever new surroundings: no digit's rows gather, and a few windows repeat."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    phrase = letters(150)
+    texts = [letters(120) + phrase + letters(120) for _ in range(3000)]
+    texts += [letters(50) + texts[i][100:330] + letters(50) for i in range(20)]
+    df = frame(spark, texts).repartition(8)
+    runs = substrings.first_pass(substrings._row_keys(df, "doc_id", "text"), 200, 120)
+    per_task = runs.withColumn("task", F.spark_partition_id()).groupBy("task", "a").agg(F.count("*").alias("n"))
+    assert per_task.agg(F.max("n")).first()[0] <= substrings.HOT + 1
+    got = {r["id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in substrings.remove_repeats(df).collect()}
+    want = brute_removed(texts, 200)
+    assert [got[i] for i in range(len(texts))] == want and sum(w[1] > 0 for w in want) == 40
+
+
 def test_substring_pieces(monkeypatch):
     monkeypatch.setattr(substrings, "PIECE", 64)
     text = bytes(random.Random(0).choice(b"ab") for _ in range(500))
