@@ -16,19 +16,19 @@ LEAST_MASK, LEAST_RING, LEAST_FIT, MOST_FIT = 20, 200, 50, 6000
 INNER, OUTER, GLOBAL = 15, 61, 21
 
 
-def resize_gray(pixels: np.ndarray, size: int = 32) -> np.ndarray:
-    """Bilinear resize of a 2-D array, pixel centres aligned."""
-    pixels = np.asarray(pixels, float)
+def _shrink(n: int, size: int) -> np.ndarray:
+    """Weights of ``n`` pixels in each of ``size``: a triangle over the pixels that one comes from, at least one to either side."""
+    scale = n / size
+    reach = max(scale, 1.0)
+    weights = np.maximum(0.0, 1 - np.abs((np.arange(n) + 0.5)[None, :] - ((np.arange(size) + 0.5) * scale)[:, None]) / reach)
+    return weights / weights.sum(axis=1, keepdims=True)
 
-    def places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
-        low = np.floor(at).astype(int)
-        return low, np.minimum(low + 1, n - 1), at - low
 
-    r0, r1, fr = places(pixels.shape[0])
-    c0, c1, fc = places(pixels.shape[1])
-    rows = pixels[r0] * (1 - fr)[:, None] + pixels[r1] * fr[:, None]
-    return rows[:, c0] * (1 - fc) + rows[:, c1] * fc
+def resize_gray(pixels: np.ndarray, size: int = 32) -> np.ndarray:
+    """Antialiased bilinear resize of a 2-D array, rows first; whole values from 0 to 255 after either direction."""
+    pixels = np.asarray(pixels, float)
+    whole = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    return whole(_shrink(pixels.shape[0], size) @ whole(pixels @ _shrink(pixels.shape[1], size).T))
 
 
 def phash_bits(gray: np.ndarray) -> int:
@@ -53,7 +53,7 @@ def with_phash(images: DataFrame) -> DataFrame:
             hashes = []
             for h, w, ch, data in zip(b["height"], b["width"], b["nChannels"], b["data"], strict=True):
                 px = np.frombuffer(data, np.uint8).reshape(h, w, ch).astype(float)
-                gray = px[..., 0] if ch == 1 else px[..., 0] * 0.114 + px[..., 1] * 0.587 + px[..., 2] * 0.299
+                gray = px[..., 0] if ch == 1 else np.floor(px[..., 0] * 0.114 + px[..., 1] * 0.587 + px[..., 2] * 0.299 + 0.5)
                 hashes.append(phash_bits(resize_gray(gray)))
             yield pd.DataFrame({"path": b["path"], "hash": hashes})
 
@@ -138,21 +138,31 @@ def fit_plane(x: np.ndarray, y: np.ndarray, z: np.ndarray, seed: int = 0, tries:
     return np.linalg.lstsq(design[best], z[best], rcond=None)[0], float(best.mean())
 
 
-def measure(depth: np.ndarray, mask: np.ndarray, use_plane: bool = True) -> dict:
-    """Depth below the road around a mask: 90th percentile, spread of the ring, agreement, and a flag."""
+def road_pixels(mask: np.ndarray, ok: np.ndarray, everywhere: bool = False) -> np.ndarray:
+    """Valid pixels of the road that a plane is fitted to: a ring around the mask, or all but the mask and its rim."""
+    return ok & ~dilate(mask, GLOBAL) if everywhere else dilate(mask, OUTER) & ~dilate(mask, INNER) & ok
+
+
+def measure(depth: np.ndarray, mask: np.ndarray, use_plane: bool = True, everywhere: bool = False) -> dict:
+    """Depth below the road around a mask: 90th percentile, spread of the road, agreement, and a flag.
+
+    Without a plane depths count as measured from the surface already: the percentile of the mask's
+    own valid depths, of any size, and no road is needed.
+    """
     out = {"dbs_scalar": None, "road_std": None, "inlier_frac": None, "flag": ""}
-    depth, _ = clip_depth(depth)
+    if use_plane:
+        depth, _ = clip_depth(depth)
     ok = valid_depth(depth)
-    inside, ring = mask & ok, dilate(mask, OUTER) & ~dilate(mask, INNER) & ok
+    inside = mask & ok
     if inside.sum() < LEAST_MASK:
         return out | {"flag": "mask_fail"}
+    if not use_plane:
+        return out | {"dbs_scalar": float(np.percentile(depth[inside].astype(float), 90))}
+    ring = road_pixels(mask, ok, everywhere)
     if ring.sum() < LEAST_RING:
         return out | {"flag": "ring_fail"}
     yr, xr = np.nonzero(ring)
     yi, xi = np.nonzero(inside)
-    if not use_plane:
-        level = np.median(depth[ring])
-        return out | {"dbs_scalar": float(np.percentile(depth[inside] - level, 90)), "road_std": float(np.std(depth[ring] - level))}
     fit = fit_plane(xr, yr, depth[ring].astype(float))
     if fit is None:
         return out | {"flag": "ransac_fail"}
@@ -162,7 +172,7 @@ def measure(depth: np.ndarray, mask: np.ndarray, use_plane: bool = True) -> dict
     return {"dbs_scalar": float(np.percentile(below, 90)), "road_std": float(np.std(spread)), "inlier_frac": round(share, 3), "flag": "low_inlier" if share < 0.5 else ""}
 
 
-def measure_depths(rows: DataFrame, use_plane: bool = True) -> DataFrame:
+def measure_depths(rows: DataFrame, use_plane: bool = True, everywhere: bool = False) -> DataFrame:
     """Measurements of rows ``(stem, depth, points)``: ``depth`` holds a saved array, ``points`` a normalised polygon."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +181,7 @@ def measure_depths(rows: DataFrame, use_plane: bool = True) -> DataFrame:
             for stem, data, points in zip(b["stem"], b["depth"], b["points"], strict=True):
                 depth = np.load(io.BytesIO(data), allow_pickle=False)
                 mask = fill_polygon(np.array([[p["x"], p["y"]] for p in points]), *depth.shape)
-                out.append({"stem": stem} | measure(depth, mask, use_plane))
+                out.append({"stem": stem} | measure(depth, mask, use_plane, everywhere))
             yield pd.DataFrame(out, columns=["stem", "dbs_scalar", "road_std", "inlier_frac", "flag"])
 
     return rows.select("stem", "depth", "points").mapInPandas(run, "stem string, dbs_scalar double, road_std double, inlier_frac double, flag string")

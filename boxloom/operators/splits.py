@@ -12,18 +12,25 @@ def seeded(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+#: Groups placed before what was placed is added to the whole: an array is copied when it grows.
+CHUNK = 512
+
+
 def water_fill(groups: DataFrame, targets: dict[str, float], seed: int) -> DataFrame:
     """``unit, bucket`` for groups ``(unit, stratum, size)``.
 
     Strata are visited in order, groups within one in a seeded order; each goes to the bucket with
     the least filled share of its target, ties to the first named. What is filled carries over from
     stratum to stratum. This is a fold by nature; it runs over one array of groups (not rows),
-    inside the JVM.
+    inside the JVM, a chunk at a time.
     """
     names, shares = list(targets), list(targets.values())
     order = F.struct(F.col("stratum").cast("string").alias("s"), seeded(seed, F.col("unit")).alias("h"), F.col("unit").cast("string").alias("u"), F.col("size").cast("long").alias("n"))
     line = groups.agg(F.sort_array(F.collect_list(order)).alias("line"))
-    start = F.struct(F.array(*[F.lit(0).cast("long")] * len(names)).alias("filled"), F.array().cast("array<struct<u:string,i:int>>").alias("out"))
+    counts = F.sequence(F.lit(0), F.floor((F.size("line") - 1) / CHUNK).cast("int"))
+    line = line.where(F.size("line") > 0).select(F.transform(counts, lambda i: F.slice("line", i * CHUNK + 1, CHUNK)).alias("chunks"))
+    none = F.array().cast("array<struct<u:string,i:int>>")
+    start = F.struct(F.array(*[F.lit(0).cast("long")] * len(names)).alias("filled"), F.array().cast("array<array<struct<u:string,i:int>>>").alias("out"))
     goals = F.array(*[F.lit(float(s)) for s in shares])
 
     def step(acc, x):
@@ -32,7 +39,12 @@ def water_fill(groups: DataFrame, targets: dict[str, float], seed: int) -> DataF
         filled = F.transform(acc["filled"], lambda c, i: F.when(i == at - 1, c + x["n"]).otherwise(c))
         return F.struct(filled.alias("filled"), F.array_append(acc["out"], F.struct(x["u"].alias("u"), at.alias("i"))).alias("out"))
 
-    placed = line.select(F.explode(F.aggregate("line", start, step)["out"]).alias("e"))
+    def chunk(acc, items):
+        # An array of one binds the chunk's fold, so that it is not run for each of its fields.
+        done = F.array(F.aggregate(items, F.struct(acc["filled"].alias("filled"), none.alias("out")), step))
+        return F.get(F.transform(done, lambda d: F.struct(d["filled"].alias("filled"), F.array_append(acc["out"], d["out"]).alias("out"))), F.lit(0))
+
+    placed = line.select(F.explode(F.flatten(F.aggregate("chunks", start, chunk)["out"])).alias("e"))
     return placed.select(F.col("e.u").alias("unit"), F.element_at(F.array(*map(F.lit, names)), F.col("e.i")).alias("bucket"))
 
 

@@ -1,13 +1,16 @@
 """Hand-computed cases and comparisons with naive code."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as G
+from boxloom.functions import kernels as K
 from boxloom.operators import duplicates as D
 from boxloom.operators import matching as M
 from boxloom.operators import metrics as X
@@ -142,3 +145,35 @@ def test_water_fill(spark):
     assert [S.background_limit(n) for n in (10, 3743)] == [4, 1604]
     assert S.coverage(groups, "unit").first()["n_twice"] == 0
     assert S.water_fill(groups.limit(0), {"a": 1.0}, 1).count() == 0
+
+
+def test_depth_without_plane_and_everywhere():
+    depth = np.full((120, 120), 40.0)
+    depth[45:75, 45:75] = np.arange(900).reshape(30, 30) + 5000
+    mask = np.zeros((120, 120), bool)
+    mask[45:75, 45:75] = True
+    got = K.measure(depth, mask, use_plane=False)
+    assert got["flag"] == "" and got["dbs_scalar"] == np.percentile(depth[mask], 90)
+    whole = np.where(mask, 0, depth)
+    assert K.measure(whole, mask, use_plane=False)["flag"] == "mask_fail"
+    y, x = np.mgrid[:120, :120]
+    plane = 900 + 0.3 * x - 0.2 * y
+    plane[mask] += 25
+    assert K.measure(plane, mask, everywhere=True)["dbs_scalar"] == pytest.approx(25, abs=1e-6)
+    assert K.road_pixels(mask, mask | True, True).sum() > K.road_pixels(mask, mask | True).sum()
+
+
+def test_resize_averages_what_a_pixel_covers():
+    stripes = np.tile([0.0, 255.0], (640, 320))
+    assert np.abs(K.resize_gray(stripes) - 127.5).max() <= 2
+    assert (K.resize_gray(np.full((50, 700), 9.0)) == 9).all()
+    up = K.resize_gray(np.arange(16.0).reshape(4, 4) * 10)
+    assert up.shape == (32, 32) and up[0, 0] == 0 and up[-1, -1] == 150
+
+
+def test_water_fill_of_many_groups_takes_time_in_proportion(spark):
+    n = 40_000
+    start = time.time()
+    rows = S.water_fill(spark.range(n).selectExpr("id unit", "id % 3 stratum", "1 + id % 5 size"), {"a": 0.7, "b": 0.3}, 1).collect()
+    assert len(rows) == n and 0.66 < sum(r["bucket"] == "a" for r in rows) / n < 0.74
+    assert time.time() - start < 20
