@@ -150,6 +150,8 @@ def nearest(df: DataFrame, blocks: int = 16) -> DataFrame:
     parts = df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("part"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
     left = parts.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("part").alias("pa"), every.alias("pb"))
-    right = parts.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("part").alias("pb"))
-    both = left.join(right, "pb").where("a <> b").select("a", F.struct(l2_distance(F.col("va"), F.col("vb")).alias("distance"), "b").alias("x"))
+    right = parts.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("part").alias("pb"), every.alias("pa"))
+    # A number of partitions that is given is kept: the rows are few, but each meets a whole block.
+    left, right = (x.repartition(blocks * blocks, "pa", "pb") for x in (left, right))
+    both = left.join(right, ["pa", "pb"]).where("a <> b").select("a", F.struct(l2_distance(F.col("va"), F.col("vb")).alias("distance"), "b").alias("x"))
     return both.groupBy("a").agg(F.min("x").alias("x")).select("a", "x.b", "x.distance")
