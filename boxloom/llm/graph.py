@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from boxloom.llm.common import shared
 
+#: Edges that a task of a round gets, at least: small graphs are not spread over many files.
+EDGES = 16384
+
 
 def _down(edges: DataFrame) -> DataFrame:
     """Each edge once, from the larger end ``u`` to the smaller end ``v``."""
@@ -28,13 +31,16 @@ def components(edges: DataFrame) -> DataFrame:
     now = shared(_down(edges))
     seen = _mark(now)
     while seen[0]:
+        # Rounds do not add to the edges, so their number says how many tasks are worth having.
+        tasks = -(-seen[0] // EDGES)
+        now = now.coalesce(tasks)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = _down(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = _down(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))).coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = shared(_down(small))
+        now = shared(_down(small).coalesce(tasks))
         was, seen = seen, _mark(now)
         if was == seen:
             break
