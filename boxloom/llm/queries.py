@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import compression, decontam, language, licenses, lines, mixing, privacy, quality, simhash, substrings
+from boxloom.llm import compression, conversations, decontam, language, licenses, lines, mixing, privacy, quality, simhash, substrings
 from boxloom.llm.common import table
 from boxloom.llm.oracles import ORACLES
 
@@ -138,3 +138,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.summarise(conversations.damage(rows)).withColumnRenamed("conv_id", "found")
+    every = rows.select("conv_id").distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("found")) & F.col("cost").isNotNull(), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
