@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import compression, conversations, decontam, language, licenses, lines, mixing, privacy, quality, simhash, substrings
+from boxloom.llm import compression, conversations, decontam, fingerprints, language, licenses, lines, mixing, privacy, quality, simhash, spelling, substrings
 from boxloom.llm.common import table
 from boxloom.llm.oracles import ORACLES
 
@@ -148,3 +148,25 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = every.join(found, F.col("conv_id").eqNullSafe(F.col("found")) & F.col("cost").isNotNull(), "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+@_query
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
+    edited = [F.col(f"edited{i}") for i in range(fingerprints.LANES)]
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        fingerprints.hexed([F.col(c) for c in fingerprints.FP]).alias("fingerprint"),
+        fingerprints.hexed(edited).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "class_id",
+    )
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.tally(table(spark, sf_dir, "documents"), change=spelling.misspelt)
+    return spelling.variants(spelling.vocabulary(words))
