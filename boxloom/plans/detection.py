@@ -154,7 +154,9 @@ def pr_curve(spark, d):
     V.sql("pairs", "select image_id, gt_idx, pred_idx, round(iou,6) iou from pairs where iou>=0.5"),
 )
 def iou_pairs(spark, d):
-    p = M.candidate_pairs(V.gt_boxes(spark, d), V.detections(spark, d))
+    gt, det = V.gt_boxes(spark, d), V.detections(spark, d)
+    crowded = checkpointed(M.crowded_images(gt, det))
+    p = M.candidate_pairs(gt, det, crowded=None if crowded.isEmpty() else crowded)
     return p.select("image_id", "gt_idx", "pred_idx", F.round("iou", 6).alias("iou"))
 
 
