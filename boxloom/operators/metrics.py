@@ -121,17 +121,3 @@ def class_scores(matrix: DataFrame) -> DataFrame:
         zero(F.col("tp"), F.col("n_true")).alias("recall"),
         zero(2 * F.col("tp"), F.col("n_guess") + F.col("n_true")).alias("f1"),
     )
-
-
-def average_ranks(df: DataFrame, column: str, to: str) -> DataFrame:
-    """Add the rank of a value from 1, ties sharing their mean rank; values are added up before they are ordered."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_c"))
-    before = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(F.col(column).alias("_v"), (F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2).alias(to))
-    return df.join(ranks, df[column] == ranks["_v"]).drop("_v")
-
-
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """``rho, n``: correlation of average ranks over rows that have both values."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    return average_ranks(average_ranks(both, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"), F.count("*").alias("n"))

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import tertile
+from boxloom.operators.ranks import quantiles
 
 
 def tertile_cuts(df: DataFrame, value: str, where: Column | None = None) -> DataFrame:
     """``low, high``: exact 1/3 and 2/3 quantiles of finite values, linearly interpolated."""
     v = F.col(value)
     rows = df if where is None else df.where(where)
-    rows = rows.where(v.isNotNull() & ~F.isnan(v))
-    p = F.percentile(v, F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return rows.agg(p.alias("p")).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    rows = rows.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
+    return quantiles(rows, [], "v", [1 / 3, 2 / 3]).select(F.col("q0").alias("low"), F.col("q1").alias("high"))
 
 
 def with_tiers(df: DataFrame, value: str, cuts: DataFrame) -> DataFrame:

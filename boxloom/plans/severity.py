@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as G
 from boxloom.operators import metrics as X
+from boxloom.operators import ranks as R
 from boxloom.operators import tiers as T
 from boxloom.plans import fixtures as V
 from boxloom.plans.registry import query
@@ -59,8 +60,9 @@ def tier_contingency(spark, d):
 @query("percentile_profile", "select l_returnflag grp, list_transform(quantile_cont(l_extendedprice, [0.05,0.1,0.25,0.5,0.75,0.9,0.95]), lambda x: round(x,4))::varchar p from lineitem group by 1".replace("list_transform(quantile_cont(l_extendedprice, [0.05,0.1,0.25,0.5,0.75,0.9,0.95]), lambda x: round(x,4))::varchar p", ", ".join(f"round(quantile_cont(l_extendedprice, {q}::double),4) p{int(q * 100):02d}" for q in (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95))))
 def percentile_profile(spark, d):
     qs = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
-    p = V.table(spark, d, "lineitem").groupBy(c("l_returnflag").alias("grp")).agg(F.percentile("l_extendedprice", F.array(*map(lit, qs))).alias("p"))
-    return p.select("grp", *[F.round(c("p")[i], 4).alias(f"p{int(q * 100):02d}") for i, q in enumerate(qs)])
+    rows = V.table(spark, d, "lineitem").select(c("l_returnflag").alias("grp"), "l_extendedprice")
+    p = R.quantiles(rows, ["grp"], "l_extendedprice", qs)
+    return p.select("grp", *[F.round(f"q{i}", 4).alias(f"p{int(q * 100):02d}") for i, q in enumerate(qs)])
 
 
 @query("snr_gate", V.sql("meas", """select case when sd is null or sd=0 then 'excluded' when dbs/sd/10>2 then 'clean' when dbs/sd/10>=1 then 'marginal' else 'noise' end band, count(*) n, round(avg(sd),6) mean_sd from meas group by 1"""))
@@ -93,7 +95,9 @@ _SHARE = "(x2-x1)*(y2-y1)/518400"
 def calibration_gate(spark, d):
     s = G.area_share(c("x1"), c("y1"), c("x2"), c("y2"), 720.0, 720.0)
     b = V.gt_boxes(spark, d).select("image_id", s.alias("s")).join(V.domains(spark, d), "image_id")
-    return b.groupBy("domain").agg(F.count("*").alias("n"), X.count_if(G.calibrated("s", 0.05)).alias("n_calibrated"), F.round(F.percentile("s", lit(0.5)), 6).alias("median_share"), G.domain_label(F.avg("s")).alias("label"))
+    median = R.quantiles(b, ["domain"], "s", [0.5]).select("domain", F.round("q0", 6).alias("median_share"))
+    counts = b.groupBy("domain").agg(F.count("*").alias("n"), X.count_if(G.calibrated("s", 0.05)).alias("n_calibrated"), G.domain_label(F.avg("s")).alias("label"))
+    return counts.join(median, "domain", "left")
 
 
 @query("gate_shares", V.sql("gt dom", f"""select "domain", t threshold, round(avg(case when {_SHARE}>=t then 1.0::double else 0 end)*100,6) pct from gt join dom using (image_id), (select unnest([0.01::double,0.02,0.05,0.123]) t) k group by 1, 2"""))
@@ -151,4 +155,18 @@ def confusion_f1(spark, d):
 
 @query("spearman_area_tier", """with r as (select rank() over (order by l_quantity)+(count(*) over (partition by l_quantity)-1)/2 a, rank() over (order by l_extendedprice)+(count(*) over (partition by l_extendedprice)-1)/2 b from lineitem) select round(corr(a,b),6) rho, count(*) n from r""")
 def spearman_area_tier(spark, d):
-    return X.spearman(V.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").withColumn("rho", F.round("rho", 6))
+    return R.spearman(V.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("rho", 6).alias("rho"), "n")
+
+
+# Twice the tail of Student's t, by Simpson's rule over the density in 4000 steps.
+_TAIL = """with r as (select rank() over (order by {a})+(count(*) over (partition by {a})-1)/2 a, rank() over (order by {b})+(count(*) over (partition by {b})-1)/2 b from {t}),
+ k as (select corr(a,b) rho, count(*) n, count(*)-2 d from r), h as (select *, abs(rho)*sqrt(d/(1-rho*rho)) t, exp(lgamma((d+1)/2.0::double)-lgamma(d/2.0::double))/sqrt(d*pi()) k0 from k),
+ i as (select sum((case when j=0 or j=4000 then 1 when j%2=1 then 4 else 2 end)*k0*pow(1+pow(t*j/4000.0::double,2)/d, -(d+1)/2.0::double))*any_value(t)/12000.0::double s from h, (select unnest(range(4001)) j))
+ select round(rho,6) rho, round(1-2*s,6) p, n from h, i"""
+
+
+@query("spearman_p_value", _TAIL.format(a="l.quality", b="d.n_chars", t="labels l join documents d using (doc_id)"))
+def spearman_p_value(spark, d):
+    """Whether longer documents are labelled better: rank correlation and its significance."""
+    rows = V.table(spark, d, "labels").join(V.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return R.spearman(rows, "quality", "n_chars").select(F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"), "n")
