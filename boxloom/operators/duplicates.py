@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,25 +37,84 @@ def first_seen_numbers(df: DataFrame, key: str, order: str, to: str) -> DataFram
     return df.join(numbers, df[key] == numbers["_key"]).drop("_key")
 
 
-def _bands(df: DataFrame, count: int) -> DataFrame:
-    """Each hash once for each of ``count`` bands; hashes within count - 1 bits agree on one at least."""
+#: Bits of a segment of a hash whose values are looked up with a ball of others around them.
+SEGMENT = 32
+#: Pairs of a component up to which it is folded in one pass where it lies; larger ones go in rounds.
+FOLD = 200_000
+#: Pairs that a task holds before it folds the components that are whole.
+HELD = 1 << 16
+
+
+def hash_classes(df: DataFrame) -> DataFrame:
+    """``hash, first, n``: each hash of ``(id, hash)`` once, with the least id that has it and how many do."""
+    return df.where("hash is not null").groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+
+
+def _segments(count: int) -> list[tuple[int, int]]:
+    """Place and width of each of ``count`` segments of 64 bits."""
     width = -(-64 // count)
-    mask = F.lit((1 << width) - 1 if width < 63 else -1).cast("long")
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("hash", b * width).bitwiseAND(mask).alias("value")) for b in range(count)])
-    return df.select("*", F.explode(bands).alias("_b")).select(*df.columns, "_b.band", "_b.value")
+    return [(s * width, min(width, 64 - s * width)) for s in range(count)]
+
+
+def _value(at: int, width: int) -> Column:
+    mask = F.lit((1 << width) - 1 if width < 64 else -1).cast("long")
+    return F.shiftrightunsigned("hash", at).bitwiseAND(mask)
+
+
+def _ball(width: int, radius: int) -> list[int]:
+    """The masks that flip up to ``radius`` of ``width`` bits."""
+    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def _tables(hashes: DataFrame, within: int) -> tuple[DataFrame, DataFrame]:
+    """``hash, segment, value`` of ``hashes(hash)`` as entries, and with the balls around them as probes.
+
+    Hashes that differ in up to ``within`` bits differ in at most its share of them in one segment, so a ball of
+    that radius around the one's value there holds the other's. Long segments keep entries small:
+    with two of 32 bits and a radius of one a hash probes 66 values.
+    """
+    segments = _segments(64 // SEGMENT)
+    radius = within // len(segments)
+
+    def around(s: int, at: int, width: int) -> Callable[[Column], Column]:
+        return lambda m: F.struct(F.lit(s).alias("segment"), _value(at, width).bitwiseXOR(m).alias("value"))
+
+    entry = [F.struct(F.lit(s).alias("segment"), _value(*x).alias("value")) for s, x in enumerate(segments)]
+    probe = []
+    for s, (at, width) in enumerate(segments):
+        masks = F.array(*[F.lit(m).cast("long") for m in _ball(width, radius)])
+        probe.append(F.transform(masks, around(s, at, width)))
+    spread = lambda x: hashes.select("hash", F.explode(x).alias("_e")).select("hash", "_e.segment", "_e.value")
+    return spread(F.array(*entry)), spread(F.concat(*probe))
+
+
+def class_pairs(classes: DataFrame, within: int = 3) -> DataFrame:
+    """``h1, h2, distance`` with h1 < h2 of the different hashes of ``classes`` that differ in at most ``within`` bits, each once."""
+    hashes = classes.select("hash")
+    entries, probes = _tables(hashes, within)
+    probes = probes.withColumnRenamed("hash", "h1")
+    both = probes.join(entries.withColumnRenamed("hash", "h2"), ["segment", "value"])
+    distance = hamming(F.col("h1"), F.col("h2"))
+    both = both.where((F.col("h1") < F.col("h2")) & (distance <= within))
+    return both.select("h1", "h2", distance.alias("distance")).distinct()
+
+
+def first_pairs(classes: DataFrame, within: int = 3) -> DataFrame:
+    """``a, b, distance`` with a < b: the least ids of the classes whose hashes are near. Equal hashes give no pairs."""
+    near = class_pairs(classes, within)
+    side = lambda h, to: classes.select(F.col("hash").alias(h), F.col("first").alias(to))
+    both = near.join(side("h1", "x"), "h1").join(side("h2", "y"), "h2")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def hamming_pairs(df: DataFrame, within: int = 3) -> DataFrame:
-    """``a, b, distance`` with a < b of rows ``(id, hash)`` whose hashes differ in at most ``within`` bits.
+    """``a, b, distance`` with a < b of all rows ``(id, hash)`` whose hashes differ in at most ``within`` bits.
 
-    Exact: by the pigeonhole principle such hashes share one of within + 1 bands, so an equi-join
-    on the band replaces comparing all rows; equal hashes are one row until the end.
+    Found between classes of equal hashes and written out for their members at the end: for large
+    classes that is many rows, which ``linked_hashes``, ``keep_hashes`` and ``seed_hashes`` never write.
     """
     hashes = df.select("hash").where("hash is not null").distinct()
-    cut = _bands(hashes, within + 1)
-    left, right = cut.withColumnRenamed("hash", "h1"), cut.withColumnRenamed("hash", "h2")
-    near = left.join(right, ["band", "value"]).where((F.col("h1") < F.col("h2")) & (hamming(F.col("h1"), F.col("h2")) <= within))
-    near = near.select("h1", "h2").distinct().unionByName(hashes.selectExpr("hash as h1", "hash as h2"))
+    near = class_pairs(hashes, within).select("h1", "h2").unionByName(hashes.selectExpr("hash as h1", "hash as h2"))
     a, b = df.selectExpr("id as a", "hash as h1"), df.selectExpr("id as b", "hash as h2")
     both = near.join(a, "h1").join(b, "h2").where("a <> b")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), hamming(F.col("h1"), F.col("h2")).alias("distance")).distinct()
@@ -60,54 +122,134 @@ def hamming_pairs(df: DataFrame, within: int = 3) -> DataFrame:
 
 def hamming_anti(df: DataFrame, other: DataFrame, within: int = 3) -> DataFrame:
     """Rows of ``df`` without any hash of ``other`` within so many bits; ``other`` counts before any dedup of its own."""
-    probe, table = _bands(df.select("hash").distinct(), within + 1), _bands(other.select("hash").distinct(), within + 1).withColumnRenamed("hash", "h2")
-    hit = probe.join(table, ["band", "value"]).where(hamming(F.col("hash"), F.col("h2")) <= within).select("hash").distinct()
+    _, probe = _tables(df.select("hash").where("hash is not null").distinct(), within)
+    table, _ = _tables(other.select("hash").where("hash is not null").distinct(), within)
+    hit = probe.join(table.withColumnRenamed("hash", "h2"), ["segment", "value"]).where(hamming(F.col("hash"), F.col("h2")) <= within).select("hash").distinct()
     return df.join(hit, "hash", "left_anti")
 
 
+def linked_hashes(df: DataFrame, within: int = 3) -> DataFrame:
+    """``id, component``: the least id reachable over near hashes. Rows without a hash stand alone."""
+    classes = checkpointed(hash_classes(df))
+    named = single_linkage(classes.select(F.col("first").alias("id")), first_pairs(classes, within))
+    named = classes.select("hash", "first").join(named, F.col("first") == F.col("id")).select("hash", "component")
+    return df.join(named, "hash", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def keep_hashes(df: DataFrame, within: int = 3) -> DataFrame:
+    """``id, kept``: in the order of ids, a row is kept unless its hash is near a kept one's. Not transitive.
+
+    Of a class of equal hashes only the first row can be kept.
+    """
+    classes = checkpointed(hash_classes(df))
+    kept = greedy_keep(classes.select(F.col("first").alias("id")), first_pairs(classes, within)).where("kept").select(F.col("id").alias("first"), "kept")
+    firsts = kept.join(classes, "first").select("hash", "first")
+    rows = df.join(firsts, "hash", "left")
+    return rows.select("id", (F.col("hash").isNull() | F.coalesce(F.col("id") == F.col("first"), F.lit(False))).alias("kept"))
+
+
+def seed_hashes(df: DataFrame, within: int = 3) -> DataFrame:
+    """``id, seed``: a row joins the nearest earlier seed within reach (ties: earliest), else becomes one.
+
+    Seeds are the first rows of classes that ``greedy_keep`` keeps. They differ in more than ``within``
+    bits from each other, so few are near one hash; a class's members choose among those.
+    """
+    classes = checkpointed(hash_classes(df))
+    near = checkpointed(first_pairs(classes, within))
+    kept = checkpointed(greedy_keep(classes.select(F.col("first").alias("id")), near).where("kept").select(F.col("id").alias("seed")))
+    both = near.select(F.col("a").alias("first"), F.col("b").alias("seed"), "distance").unionByName(near.select(F.col("b").alias("first"), F.col("a").alias("seed"), "distance"))
+    both = both.join(kept, "seed", "left_semi").unionByName(kept.select(F.col("seed").alias("first"), "seed", F.lit(0).alias("distance")))
+    reach = both.join(classes, "first").select("hash", "seed", "distance")
+    best = df.join(reach, "hash").where("seed <= id").groupBy("id").agg(F.min(F.struct("distance", "seed")).alias("x")).select("id", F.col("x.seed").alias("seed"))
+    return best.unionByName(df.where("hash is null").select("id", F.col("id").alias("seed")))
+
+
 def single_linkage(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id, component``: the least id reachable over pairs (a, b). Chains link.
 
-    Labels spread to neighbours and then jump to the label's own label, so rounds grow with the
-    logarithm of a chain's length; each round ends in a checkpoint. Only ids in pairs take part.
+    Star contraction: a round hangs every larger neighbour of a node on its least one, then every
+    smaller one too, so that edges become stars around the least ids in about the logarithm of a
+    chain's length. Edges never grow in number beyond the nodes; each round ends in a checkpoint.
     """
-    edges = checkpointed(pairs.select("a", "b").unionByName(pairs.selectExpr("b as a", "a as b")).distinct())
-    labels = checkpointed(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id"))
-    while True:
-        around = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(around, labels.id == around.a).select("id", F.least("label", "near").alias("next"), "label")
-        jump = spread.selectExpr("id as at", "next as further")
-        moved = spread.join(jump, spread.next == jump["at"], "left").select("id", F.coalesce(F.least("next", "further"), "next").alias("next"), "label")
-        moved = checkpointed(moved)
-        changed = moved.where("next <> label").isEmpty()
-        labels = moved.select("id", F.col("next").alias("label"))
-        if changed:
+
+    def down(edges: DataFrame) -> DataFrame:
+        return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    def mark(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    now = checkpointed(down(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    seen = mark(now)
+    while seen[0]:
+        around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = down(around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = checkpointed(down(small))
+        was, seen = seen, mark(now)
+        if was == seen:
             break
-    return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+    labels = now.select(F.col("u").alias("_u"), F.col("v").alias("component"))
+    return nodes.select("id").join(labels, F.col("id") == F.col("_u"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, fold: int = FOLD) -> DataFrame:
     """``id, kept``: in the order of ids, a row is kept unless it is near one already kept. Not transitive.
 
-    The kept rows are the first maximal independent set in that order: in each round undecided
-    rows with no undecided earlier neighbour are kept and their later neighbours dropped. Rows in
-    no pair are kept at once and take no part.
+    Pairs are dealt by connected component: one of up to ``fold`` pairs is gone through once, in
+    order, where it lies, however long its chains; only larger ones go in rounds over all tasks
+    (``_keep_in_rounds``). Rows in no pair are kept at once and take no part.
     """
     edges = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    alive = edges
-    done = None
-    undecided = checkpointed(edges.selectExpr("a as id").unionByName(edges.selectExpr("b as id")).distinct())
-    while not undecided.isEmpty():
-        kept = undecided.join(alive.selectExpr("b as id").distinct(), "id", "left_anti")
-        dropped = alive.join(kept, alive.a == kept.id, "left_semi").selectExpr("b as id").distinct()
-        now = checkpointed(kept.withColumn("kept", F.lit(True)).unionByName(dropped.withColumn("kept", F.lit(False))))
-        done = now if done is None else done.unionByName(now)
-        gone = now.select("id")
-        undecided = checkpointed(undecided.join(gone, "id", "left_anti"))
-        alive = checkpointed(alive.join(gone, alive.a == gone.id, "left_anti").join(gone, alive.b == gone.id, "left_anti"))
-    if done is None:
-        return nodes.select("id", F.lit(True).alias("kept"))
-    return nodes.select("id").join(done, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    labels = single_linkage(edges.select(F.col("a").alias("id")).distinct(), edges)
+    rows = checkpointed(edges.join(labels, F.col("a") == F.col("id")).select("a", "b", "component"))
+    giant = checkpointed(rows.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > fold).select("component"))
+
+    def folded(part: pd.DataFrame) -> pd.DataFrame:
+        """The rows of whole components that are not kept: by falling order of both ends, each row's kept neighbours are known before it."""
+        part = part.sort_values(["b", "a"])
+        dropped: set = set()
+        for a, b in zip(part["a"].tolist(), part["b"].tolist(), strict=True):
+            if a not in dropped:
+                dropped.add(b)
+        return pd.DataFrame({"id": sorted(dropped)}, dtype=part["a"].dtype)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= HELD:
+                whole = pd.concat(held, ignore_index=True)
+                ended = whole["component"] != whole["component"].iloc[-1]
+                if ended.any():
+                    yield folded(whole[ended])
+                    whole = whole[~ended]
+                held = [whole]
+        if held:
+            yield folded(pd.concat(held, ignore_index=True))
+
+    small = rows.join(giant, "component", "left_anti").repartition("component").sortWithinPartitions("component")
+    dropped = small.mapInPandas(run, f"id {dict(edges.dtypes)['a']}")
+    if not giant.isEmpty():
+        dropped = dropped.unionByName(_drop_in_rounds(rows.join(giant, "component", "left_semi").select("a", "b")))
+    gone = dropped.select(F.col("id").alias("_gone"))
+    return nodes.select("id").join(gone, F.col("id") == F.col("_gone"), "left").select("id", F.col("_gone").isNull().alias("kept"))
+
+
+def _drop_in_rounds(edges: DataFrame) -> DataFrame:
+    """``id`` of the rows of ``edges(a, b)`` that are not kept: in each round undecided rows with no undecided
+    earlier neighbour are kept and their later neighbours dropped."""
+    alive = checkpointed(edges)
+    gone = None
+    while not alive.isEmpty():
+        kept = alive.select(F.col("a").alias("id")).join(alive.select(F.col("b").alias("id")), "id", "left_anti").distinct()
+        now = checkpointed(alive.join(kept, alive.a == kept.id, "left_semi").select(F.col("b").alias("id")).distinct())
+        gone = now if gone is None else gone.unionByName(now)
+        # An end that is dropped, or kept with all its pairs decided, has no say any more.
+        alive = alive.join(kept, alive.a == kept.id, "left_anti")
+        alive = checkpointed(alive.join(now, alive.a == now.id, "left_anti").join(now, alive.b == now.id, "left_anti"))
+    return gone
 
 
 def seed_clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -120,7 +262,7 @@ def seed_clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     rest = kept.where("not kept").select("id")
     both = pairs.select(F.least("a", "b").alias("seed"), F.greatest("a", "b").alias("id"), "distance")
     near = both.join(seeds, "seed", "left_semi").join(rest, "id", "left_semi")
-    best = keep_first(near, ["id"], ["distance", "seed"]).select("id", "seed")
+    best = near.groupBy("id").agg(F.min(F.struct("distance", "seed")).alias("x")).select("id", F.col("x.seed").alias("seed"))
     return seeds.selectExpr("seed as id", "seed").unionByName(best)
 
 

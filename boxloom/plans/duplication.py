@@ -42,13 +42,13 @@ def hamming_antijoin(spark, d):
 @query("single_linkage", V.sql("chain", _reach("chain") + " select id, component from co"))
 def single_linkage(spark, d):
     h = V.planted_hashes(spark, d, chain=True)
-    return D.single_linkage(h, D.hamming_pairs(h))
+    return D.linked_hashes(h)
 
 
 @query("greedy_keep", V.sql("chain", _reach("chain") + _KEEP + " select id, ok kept from gk where k>0"))
 def greedy_keep(spark, d):
     h = V.planted_hashes(spark, d, chain=True)
-    return D.greedy_keep(h, D.hamming_pairs(h))
+    return D.keep_hashes(h)
 
 
 @query(
@@ -58,7 +58,7 @@ def greedy_keep(spark, d):
 )
 def seed_clusters(spark, d):
     h = V.planted_hashes(spark, d, chain=True)
-    return D.seed_clusters(h, D.checkpointed(D.hamming_pairs(h)))
+    return D.seed_hashes(h)
 
 
 @query(
@@ -68,7 +68,7 @@ def seed_clusters(spark, d):
 def cross_source_clusters(spark, d):
     """For each pair of sources how many clusters hold both; a cluster's distinct sources are a handful."""
     h = V.planted_hashes(spark, d)
-    s = D.single_linkage(h, D.hamming_pairs(h)).join(h, "id").groupBy("component").agg(F.sort_array(F.collect_set("source")).alias("s"))
+    s = D.linked_hashes(h).join(h, "id").groupBy("component").agg(F.sort_array(F.collect_set("source")).alias("s"))
     both = s.where(F.size("s") > 1).select("component", "s", F.explode("s").alias("source_a"))
     both = both.select("component", "source_a", F.explode("s").alias("source_b")).where("source_a < source_b")
     return both.groupBy("source_a", "source_b").agg(F.count("*").alias("n_clusters"), F.min("component").alias("first_cluster"))
