@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boxloom.llm.common import pack
 
@@ -78,19 +77,28 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> tuple[float,
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, sample_bytes: int) -> list[tuple[bytes, int]]:
     """Whole texts and labels to learn from: of either label those whose ids hash lowest, within both bounds.
 
-    A document is left out where its text would pass ``sample_bytes``; that is settled before
-    anything is brought to the driver. An id that is repeated counts once, with its least text.
+    Texts are taken in that order; one with which a label's would pass ``sample_bytes`` is left out,
+    and the next ones are tried. That is settled on lengths alone, of at most twice ``sample`` rows,
+    before any text is brought to the driver. An id that is repeated counts once, with its least
+    text; an id with both labels tells nothing and is left out.
     """
     marked = pack(labels, label_id=F.col(id_col).cast("long"), label=F.col(label_col).cast("int")).where("label in (0, 1) and label_id is not null")
-    marked = marked.where(~held_out(F.col("label_id"))).dropDuplicates(["label_id"])
+    marked = marked.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+    marked = marked.where("label = other").select("label_id", "label")
     order = F.xxhash64("label_id"), F.col("label_id")
     chosen = marked.where("label = 1").orderBy(*order).limit(sample).unionByName(marked.where("label = 0").orderBy(*order).limit(sample))
     texts = pack(docs, label_id=F.col(id_col).cast("long"), text=F.col(text_col).cast("string")).where("text is not null")
     # At most 2 * sample rows of two numbers, so always small enough to send to every executor.
-    rows = texts.join(F.broadcast(chosen), "label_id").groupBy("label_id", "label").agg(F.min("text").alias("text"))
-    total = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(*order))
-    rows = rows.withColumn("total", total).where(F.col("total") <= sample_bytes).orderBy(*order)
-    return [(r["text"].encode(), r["label"]) for r in rows.collect()]
+    rows = texts.join(F.broadcast(chosen), "label_id")
+    sizes = rows.groupBy("label_id", "label").agg(F.octet_length(F.min("text")).alias("size")).orderBy(*order).collect()
+    taken, total = [], [0, 0]
+    for r in sizes:
+        if total[r["label"]] + r["size"] <= sample_bytes:
+            total[r["label"]] += r["size"]
+            taken.append((r["label_id"],))
+    fits = docs.sparkSession.createDataFrame(taken, "fits long")
+    found = rows.join(F.broadcast(fits), F.col("label_id") == F.col("fits")).groupBy("label_id", "label").agg(F.min("text").alias("text")).orderBy(*order)
+    return [(r["text"].encode(), r["label"]) for r in found.collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:

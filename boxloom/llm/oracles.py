@@ -1,5 +1,7 @@
 """DuckDB SQL for the training-data queries that SQL can express, over whole tables and texts."""
 
+from boxloom.llm.quality import RULES
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op2_quality_rules"] = r"""
@@ -15,6 +17,11 @@ f as (select *, (n_words<50)::int + 2*(100*n_repeat_words>50*n_words)::int + 4*(
  + 16*(n_words>0 and (word_chars<2*n_words or word_chars>20*n_words))::int + 32*(10*n_marks>3*n_words)::int + 64*(up+low>0 and 2*up>up+low)::int failed from a)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed&3<>0 base_failed, failed=0 kept, failed::bigint failed from f"""
 
+ORACLES["quality_ablations"] = f"""
+with q as ({ORACLES["op2_quality_rules"].strip()})
+select rule, count(*) filter (failed & rule_bit <> 0) n_failed, count(*) filter (failed = rule_bit) n_only, count(*) filter (failed - (failed & rule_bit) = 0) n_kept_without
+from q, (select unnest([{", ".join(f"'{name}'" for name in RULES)}]) rule, unnest([{", ".join(f"{1 << bit}::bigint" for bit, _ in RULES.values())}]) rule_bit) r group by rule"""
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES["op3_decontamination"] = f"""
 with b as (select coalesce(item_id::varchar,'') item, {_WORDS} w from benchmark), d as (select doc_id, {_WORDS} w from documents),

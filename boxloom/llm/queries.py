@@ -43,6 +43,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the policy how many documents fail it, fail it alone, and would be kept without it, from the ledger's bits."""
+    return quality.ablations(quality.ledger(quality.measure(table(spark, sf_dir, "documents"))), "v2")
+
+
 @_query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

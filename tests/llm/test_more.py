@@ -331,6 +331,23 @@ def test_classifier_sample(spark):
     assert few and all(sum(len(t) for t, y in few if y == k) <= 200 for k in (0, 1))
 
 
+def test_classifier_long_text_and_conflicting_labels(spark):
+    """A text that does not fit is left out alone, wherever it comes; an id with both labels is not learned from."""
+    docs = spark.range(60).selectExpr("id doc_id", "concat('some text number ', id, repeat(' word', cast(id % 7 as int))) text")
+    labels = spark.range(60).selectExpr("id doc_id", "cast(id % 2 as int) quality")
+    plain = compression.sampled(docs, labels, "doc_id", "text", "quality", 100, 1 << 16)
+    for long in (1, 3, 8, 20):
+        one = docs.withColumn("text", F.when(F.col("doc_id") == long, F.repeat(F.lit("x"), 1 << 17)).otherwise(F.col("text")))
+        got = compression.sampled(one, labels, "doc_id", "text", "quality", 100, 1 << 16)
+        texts = {t for t, _ in got}
+        assert len(plain) - len(got) in (0, 1) and texts <= {t for t, _ in plain}
+    both = labels.unionByName(labels.where("doc_id < 30").selectExpr("doc_id", "1 - quality quality"))
+    got = compression.sampled(docs, both, "doc_id", "text", "quality", 100, 1 << 16)
+    assert got and all(int(t.split()[3]) >= 30 for t, _ in got)
+    # Equal rows of one label count once.
+    assert compression.sampled(docs, labels.unionByName(labels), "doc_id", "text", "quality", 100, 1 << 16) == plain
+
+
 def test_classifier_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "w " * 100_000), (2, "x")], "doc_id long, text string").withColumn("score", F.lit("x"))
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
