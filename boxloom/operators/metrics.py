@@ -109,6 +109,13 @@ def confusion(df: DataFrame, truth: str, guess: str, labels: list[str]) -> DataF
     )
 
 
+def present(matrix: DataFrame) -> DataFrame:
+    """The rows of a confusion matrix whose labels occur, as a truth or as a guess; scores of others are not averaged in."""
+    seen = matrix.where("n > 0").select(F.explode(F.array("truth", "guess")).alias("label")).distinct()
+    side = lambda c: F.broadcast(seen.withColumnRenamed("label", c))
+    return matrix.join(side("truth"), "truth", "left_semi").join(side("guess"), "guess", "left_semi")
+
+
 def class_scores(matrix: DataFrame) -> DataFrame:
     """``label, precision, recall, f1`` from a confusion matrix; undefined ratios are 0."""
     rows = matrix.select(F.col("truth").alias("label"), F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("n_true"), F.lit(0).alias("n_guess"))

@@ -43,6 +43,12 @@ def display_category(tier: Column, is_calibrated: Column) -> Column:
     return F.when(is_calibrated, tier).otherwise("uncalibrated")
 
 
+def box_label(name: Column, conf: Column, tier: Column, tier_conf: Column, is_calibrated: Column) -> Column:
+    """What is written beside a box: the tier's confidence only where the tier is calibrated."""
+    sure = F.format_string("%s %.2f | %s %.2f", name, conf, tier, tier_conf)
+    return F.when(is_calibrated, sure).otherwise(F.format_string("%s %.2f | %s* uncal", name, conf, tier))
+
+
 def summary(rows: DataFrame, tiers: tuple[str, ...] = TIERS) -> DataFrame:
     """``part, name, calibrated, n`` of rows (cls, tier, calibrated, crop): classes, then tiers by calibration, zero-filled."""
     by_class = rows.groupBy(F.col("cls").cast("string").alias("name")).agg(F.count("*").alias("n")).select(F.lit("class").alias("part"), "name", F.lit(None).cast("boolean").alias("calibrated"), "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as G
+from boxloom.functions import masks as K
 from boxloom.operators import metrics as X
 from boxloom.operators import ranks as R
 from boxloom.operators import tiers as T
@@ -170,3 +171,39 @@ def spearman_p_value(spark, d):
     """Whether longer documents are labelled better: rank correlation and its significance."""
     rows = V.table(spark, d, "labels").join(V.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return R.spearman(rows, "quality", "n_chars").select(F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"), "n")
+
+
+@query("confusion_f1_present", _CONF + """, o as (select distinct unnest([truth, guess]) x from m where n>0), q as (select m.* from m join o a on a.x=truth join o b on b.x=guess),
+ s as (select x label, coalesce(sum(n) filter (truth=x and guess=x),0) tp, coalesce(sum(n) filter (truth=x),0) nt, coalesce(sum(n) filter (guess=x),0) ng from q, o group by 1)
+ select count(*) n_labels, round(avg(coalesce(2*tp/nullif(nt+ng,0)::double,0)),6) macro_f1 from s""")
+def confusion_f1_present(spark, d):
+    """The mean over the labels that occur only."""
+    s = X.class_scores(X.present(_matrix(spark, d)))
+    return s.agg(F.count("*").alias("n_labels"), F.round(F.avg("f1"), 6).alias("macro_f1"))
+
+
+_UNCAL = """select l_orderkey image_id, l_linenumber pred_idx, case when l_quantity>25 then l_returnflag||' '||printf('%.2f',l_discount::double)||' | '||l_linestatus||' '||printf('%.2f',l_tax::double)
+ else l_returnflag||' '||printf('%.2f',l_discount::double)||' | '||l_linestatus||'* uncal' end label from lineitem"""
+
+
+@query("box_labels", f"select label, count(*) n from ({_UNCAL}) u group by 1")
+def box_labels(spark, d):
+    """The texts beside boxes, counted."""
+    from boxloom.pipeline import box_label
+
+    text = box_label(c("l_returnflag"), c("l_discount").cast("double"), c("l_linestatus"), c("l_tax").cast("double"), c("l_quantity") > 25)
+    return V.table(spark, d, "lineitem").groupBy(text.alias("label")).agg(F.count("*").alias("n"))
+
+
+_PIXELS = "(select image_id, x, y from (select image_id, unnest(range(floor(x1/16)::bigint,floor(x2/16)::bigint)) x, y1, y2 from gt), lateral (select unnest(range(floor(y1/16)::bigint,floor(y2/16)::bigint)) y) t)"
+
+
+@query("mask_coverage", V.sql("gt dom", f"""select "domain", count(*) n_images, round(avg(n),6) mean_instances, round(avg(coalesce(k,0)*100/2025.0::double),6) mean_coverage from
+ (select image_id, count(*) n from gt group by 1) g join dom using (image_id) left join (select image_id, count(distinct x*45+y) k from {_PIXELS} p group by 1) z using (image_id) group by 1"""))
+def mask_coverage(spark, d):
+    """Mean number of instances of an image, and how much of it their masks cover together, in tiles of 16 pixels."""
+    at = lambda x: F.floor(c(x) / 16)
+    runs = K.box_runs(at("x1"), at("y1"), at("x2"), at("y2"), 45)
+    masks = V.gt_boxes(spark, d).groupBy("image_id").agg(F.count("*").alias("n"), F.flatten(F.collect_list(runs)).alias("runs"))
+    rows = masks.select("image_id", "n", K.coverage(c("runs"), 45, 45).alias("covered")).join(V.domains(spark, d), "image_id")
+    return rows.groupBy("domain").agg(F.count("*").alias("n_images"), F.round(F.avg("n"), 6).alias("mean_instances"), F.round(F.avg("covered"), 6).alias("mean_coverage"))

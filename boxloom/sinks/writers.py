@@ -55,6 +55,27 @@ def write_lists(df: DataFrame, path: str, split: str = "split", value: str = "pa
     df.select(split, F.col(value).alias("value")).repartitionByRange(split, "value").sortWithinPartitions(split, "value").write.mode("overwrite").partitionBy(split).text(path)
 
 
+def write_curves(curves: DataFrame, path: str, split: str = "split") -> None:
+    """A folder of CSV for each split: ``conf, precision, recall`` by falling confidence.
+
+    ``curves`` also has ``n``, the rank. Files are committed when all tasks are done, so a failed write leaves nothing to read.
+    """
+    rows = curves.select(split, "n", "conf", "precision", "recall").repartitionByRange(split, "n").sortWithinPartitions(split, "n").drop("n")
+    rows.write.mode("overwrite").partitionBy(split).csv(path, header=True)
+
+
+def write_crops(crops: DataFrame, path: str, manifest: str, by: tuple[str, ...] = ("split", "tier"), pixels: str | None = None) -> None:
+    """Crops in a folder for each split and tier, and their manifest as CSV.
+
+    Rows of a crop without pixels inside the image (``crop`` false) or without a tier are left out. With
+    ``pixels``, a binary column, each folder's files hold stem and bytes; else stem and corners.
+    """
+    rows = crops.where(F.col("crop") & F.col(by[-1]).isNotNull())
+    corners = [c for c in ("bx0", "by0", "bx1", "by1") if c in rows.columns]
+    rows.select(*by, "stem", *([F.col(pixels)] if pixels else corners)).write.mode("overwrite").partitionBy(*by).parquet(path)
+    write_csv(rows.drop("crop", *([pixels] if pixels else [])), manifest, order=[by[0], "stem"])
+
+
 def map_json(df: DataFrame, key: str, value: str) -> DataFrame:
     """One row with a JSON object of a small table, such as groups to folds."""
     entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value)))))
