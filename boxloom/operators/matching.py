@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,6 +190,27 @@ def greedy_match(images: DataFrame, gt: DataFrame, det: DataFrame, threshold: fl
     return known.join(won, ["image_id", "pred_idx"], "left").select("image_id", "pred_idx", "conf", F.col("gt_idx").isNotNull().alias("is_tp"), "gt_idx")
 
 
+def match_image(gt: list[tuple], det: list[tuple], threshold: float = 0.5) -> dict:
+    """``pred_idx -> box_index`` of one image's matches, by the rules of ``greedy_match``; for code that holds an image at a time.
+
+    ``gt`` has ``(box_index, x1, y1, x2, y2)`` and ``det`` ``(pred_idx, conf, x1, y1, x2, y2)``.
+    """
+    boxes = sorted(gt)
+    corners = np.array([b[1:] for b in boxes], float).reshape(-1, 4)
+    free, won = np.ones(len(boxes), bool), {}
+    for pred, _, x1, y1, x2, y2 in sorted(det, key=lambda d: (-d[1], d[0])):
+        w = np.minimum(corners[:, 2], x2) - np.maximum(corners[:, 0], x1)
+        h = np.minimum(corners[:, 3], y2) - np.maximum(corners[:, 1], y1)
+        common = np.maximum(w, 0.0) * np.maximum(h, 0.0)
+        union = (corners[:, 2] - corners[:, 0]) * (corners[:, 3] - corners[:, 1]) + (x2 - x1) * (y2 - y1) - common
+        iou = np.divide(common, union, out=np.zeros(len(boxes)), where=(common > 0) & (union != 0))
+        may = np.where(free & (common > 0) & (iou >= threshold), iou, -1.0)
+        if len(may) and may.max() >= 0:
+            at = int(may.argmax())
+            free[at], won[pred] = False, boxes[at][0]
+    return won
+
+
 def best_per_box(gt: DataFrame, det: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``image_id, gt_idx, best_conf, overlap_conf``: the most confident detection on each box, matched or not.
 

@@ -31,12 +31,11 @@ def hamming_pairs(spark, d):
     return D.hamming_pairs(V.planted_hashes(spark, d)).withColumn("distance", c("distance").cast("long"))
 
 
-@query("hamming_antijoin", V.sql("near", "select id, source from near x where source='src0' and not exists (select 1 from near y where y.source<>'src0' and y.brand in ('Brand#1','Brand#2','Brand#3') and bit_count(xor(x.hash,y.hash))<=3)"))
+@query("hamming_antijoin", V.sql("chain", "select id, source from chain x where source='src0' and not exists (select 1 from chain y where y.source='src1' and bit_count(xor(x.hash,y.hash))<=3)"))
 def hamming_antijoin(spark, d):
     """Rows of one source unlike any of another, which is taken before its own dedup."""
-    h = V.planted_hashes(spark, d)
-    other = h.where((c("source") != "src0") & c("brand").isin("Brand#1", "Brand#2", "Brand#3"))
-    return D.hamming_anti(h.where("source = 'src0'"), other).select("id", "source")
+    h = V.planted_hashes(spark, d, chain=True)
+    return D.hamming_anti(h.where("source = 'src0'"), h.where("source = 'src1'")).select("id", "source")
 
 
 @query("single_linkage", V.sql("chain", _reach("chain") + " select id, component from co"))
