@@ -22,9 +22,14 @@ CROWD = 64
 HELD = 1 << 16
 
 
-def crowded_images(gt: DataFrame, det: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """``image_id`` of images with more than ``crowd`` boxes on a side; boxes are counted where they lie."""
-    both = gt.select("image_id", F.lit(1).alias("g")).unionByName(det.select("image_id", F.lit(0).alias("g")))
+def crowded_images(gt: DataFrame, det: DataFrame | None = None, crowd: int = CROWD) -> DataFrame:
+    """``image_id`` of images with more than ``crowd`` boxes on a side; boxes are counted where they lie.
+
+    Any images may be joined by tile, so ``gt`` alone, or rows that its boxes are only a part of, may
+    stand for both if they are known to be as many and are cheaper to count.
+    """
+    both = gt.select("image_id", F.lit(1).alias("g"))
+    both = both if det is None else both.unionByName(det.select("image_id", F.lit(0).alias("g")))
     n = both.groupBy("image_id").agg(F.sum("g").alias("g"), F.count("*").alias("n"))
     return n.where(F.greatest(F.col("g"), F.col("n") - F.col("g")) > crowd).select("image_id")
 
@@ -169,17 +174,17 @@ def _matched_by_cluster(pairs: DataFrame, gt_type: str, pred_type: str) -> DataF
     return dealt.mapInPandas(run, f"image_id {image}, pred_idx {pred_type}, gt_idx {gt_type}")
 
 
-def greedy_match(images: DataFrame, gt: DataFrame, det: DataFrame, threshold: float = 0.5, crowd: int = CROWD) -> DataFrame:
+def greedy_match(images: DataFrame, gt: DataFrame, det: DataFrame, threshold: float = 0.5, crowd: int = CROWD, crowded: DataFrame | None = None) -> DataFrame:
     """``image_id, pred_idx, conf, is_tp, gt_idx`` of every detection on a known image.
 
     Per image, detections by falling confidence (ties: smaller index) each take the free box of
     highest IoU (ties: smaller index). The image's detections that overlap anything are folded in
     an array of tens of entries inside the JVM; the others are false at once. Images of more than
-    ``crowd`` boxes are joined by tile and matched by cluster instead. As confidence only
+    ``crowd`` boxes, or those that ``crowded`` names, are joined by tile and matched by cluster instead. As confidence only
     falls, matches at any higher threshold are the same events filtered by it.
     """
     kinds = dict(gt.dtypes)["box_index"], dict(det.dtypes)["pred_idx"]
-    crowded = checkpointed(crowded_images(gt, det, crowd))
+    crowded = checkpointed(crowded_images(gt, det, crowd) if crowded is None else crowded)
     if crowded.isEmpty():
         won = _folded(candidate_pairs(gt, det, threshold), *kinds)
     else:

@@ -10,9 +10,6 @@ from pyspark.sql.window import Window
 
 from boxloom.operators.duplicates import checkpointed
 
-#: Rows of the per-range counts broadcast at most; beyond that they are joined by range and group.
-BROADCAST_ROWS = 100_000
-
 
 def running(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """``group, value, c, before``: how often each value of a group occurs, and how many of its rows have less.
@@ -27,16 +24,19 @@ def running(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     dealt = checkpointed(dealt)
     dealt = dealt.withColumn("_in", F.coalesce(F.sum("c").over(within), F.lit(0)))
     sizes = dealt.groupBy("_range", *group).agg(F.sum("c").alias("_size"))
-    # One row for each range that a group is in: a handful.
+    # One row for each range that a group is in: a handful, which Spark broadcasts when it has seen how small they are.
     ahead = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = checkpointed(sizes.select("_range", *group, F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_ahead")))
-    few = F.broadcast(offsets) if offsets.count() <= BROADCAST_ROWS else offsets
-    renamed = few.select(F.col("_range").alias("_r"), "_ahead", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
-    on = F.col("_range") == F.col("_r")
+    offsets = sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_ahead"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
+    rows = dealt.join(offsets, (F.col("_range") == F.col("_r")) & _same(group))
+    return rows.select(*group, value, "c", (F.col("_in") + F.col("_ahead")).alias("before"))
+
+
+def _same(group: Sequence[str]) -> Column:
+    """Whether the groups of two sides are equal, the other's columns being ``_g0, _g1, ..``; nulls are."""
+    on = F.lit(True)
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    rows = dealt.join(renamed, on)
-    return rows.select(*group, value, "c", (F.col("_in") + F.col("_ahead")).alias("before"))
+    return on
 
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
@@ -45,13 +45,11 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[
     Only the values at those ranks leave their range. A group without values has no row; without
     a group there is always one, of nulls if there are no values.
     """
-    counts = checkpointed(running(df, group, value))
-    total = counts.groupBy(*group).agg(F.sum("c").alias("n"))
+    counts = running(df, group, value)
+    # The last value of a group has all others before it.
+    total = counts.groupBy(*group).agg(F.max(F.col("before") + F.col("c")).alias("n"))
     named = total.select("n", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
-    on: Column = F.lit(True)
-    for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    rows = counts.join(F.broadcast(named), on) if not group else counts.join(named, on)
+    rows = counts.join(named if group else F.broadcast(named), _same(group))
     place = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
     holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("c"))
     ends = []
@@ -67,9 +65,8 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[
 
 
 def average_ranks(df: DataFrame, column: str, to: str) -> DataFrame:
-    """Add the rank of a value from 1, ties sharing their mean rank; rows without a value go."""
-    ranks = running(df, [], column).select(F.col(column).alias("_v"), (F.col("before") + (F.col("c") + 1) / 2).alias(to))
-    return df.join(ranks, df[column] == ranks["_v"]).drop("_v")
+    """``column, to``: each value once with its rank from 1, ties sharing their mean rank."""
+    return running(df, [], column).select(column, (F.col("before") + (F.col("c") + 1) / 2).alias(to))
 
 
 def student_tail(t2: Column, degrees: Column, terms: int = 400) -> Column:
@@ -123,7 +120,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     ``p`` is two-sided, of Student's t with n - 2 degrees of freedom; null below three rows.
     """
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    r = average_ranks(average_ranks(both, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"), F.count("*").alias("n"))
+    r = both.join(average_ranks(both, a, "_ra"), a).join(average_ranks(both, b, "_rb"), b).agg(F.corr("_ra", "_rb").alias("rho"), F.count("*").alias("n"))
     degrees = F.greatest(F.col("n") - 2, F.lit(1)).cast("double")
     rest = 1 - F.col("rho") * F.col("rho")
     p = F.when(rest <= 0, F.lit(0.0)).otherwise(student_tail(F.try_divide(F.col("rho") * F.col("rho") * degrees, rest), degrees))

@@ -60,7 +60,7 @@ def eval_size_stratified(spark, d):
     gt, det = V.gt_boxes(spark, d), V.detections(spark, d)
     g = gt.select("image_id", F.col("box_index").alias("gt_idx"), G.size_bucket(area).alias("g_bucket"))
     p = det.select("image_id", "pred_idx", G.size_bucket(area).alias("p_bucket"))
-    ev = M.greedy_match(gt, gt, det).where("conf >= 0.001").join(p, ["image_id", "pred_idx"]).join(g, ["image_id", "gt_idx"], "left")
+    ev = M.greedy_match(gt, gt, det, crowded=V.crowded(spark, d)).where("conf >= 0.001").join(p, ["image_id", "pred_idx"]).join(g, ["image_id", "gt_idx"], "left")
     op = F.col("conf") >= 0.25
     one = lambda c: F.when(c, 1).otherwise(0)
     # A true one counts for its box's size, a false one for its own.
@@ -155,7 +155,7 @@ def pr_curve(spark, d):
 )
 def iou_pairs(spark, d):
     gt, det = V.gt_boxes(spark, d), V.detections(spark, d)
-    crowded = checkpointed(M.crowded_images(gt, det))
+    crowded = checkpointed(V.crowded(spark, d))
     p = M.candidate_pairs(gt, det, crowded=None if crowded.isEmpty() else crowded)
     return p.select("image_id", "gt_idx", "pred_idx", F.round("iou", 6).alias("iou"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxloom.operators.matching import greedy_match
+from boxloom.operators.matching import crowded_images, greedy_match
 
 CANVAS = 720
 
@@ -60,7 +60,12 @@ def splits(spark: SparkSession, d: str) -> DataFrame:
 
 def events(spark: SparkSession, d: str, jitter: int = 1) -> DataFrame:
     gt = gt_boxes(spark, d)
-    return greedy_match(gt, gt, detections(spark, d, jitter))
+    return greedy_match(gt, gt, detections(spark, d, jitter), crowded=crowded(spark, d))
+
+
+def crowded(spark: SparkSession, d: str) -> DataFrame:
+    """Images with many boxes, duplicates included; detections are no more than boxes."""
+    return crowded_images(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id")))
 
 
 def planted_hashes(spark: SparkSession, d: str, chain: bool = False) -> DataFrame:
