@@ -48,7 +48,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Repeated 3-word windows are found by sorting the text's windows and comparing neighbours, so
     the work grows as n log n with a text's length and no row leaves its task. A null text counts
-    as an empty one: no words, no lines, every count 0.
+    as an empty one: no words, no lines, every count 0. Rows are measured each by itself, so repeated
+    rows, null and equal ids keep a row each; an empty table gives an empty result; other columns,
+    whatever their names, are left out.
     """
     df = pack(docs, id=F.col(id_col), text=F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     df = df.select(

@@ -1,4 +1,8 @@
-"""Exact substring deduplication: windows of threshold bytes that start more than once, by depth-limited radix passes."""
+"""Exact substring deduplication: windows of threshold bytes that start more than once, grouped by hashes.
+
+This is not a radix sort by leading bytes: suffixes are dealt by the least hash of the strings in
+their window, then by hashes of the whole window, and no order among them is kept.
+"""
 
 from __future__ import annotations
 
@@ -35,7 +39,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Passes:
-    """First digits of all suffixes of a text that are threshold bytes deep."""
+    """What the suffixes of a text that are threshold bytes deep are dealt by first: a hash, called their first digit."""
 
     def __init__(self, threshold: int, gram: int) -> None:
         self.threshold, self.gram, self.width = threshold, gram, threshold - gram + 1
@@ -223,12 +227,13 @@ def last_pass(opened: DataFrame, threshold: int) -> DataFrame:
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``r1, r2, runs`` of each row with a window that starts elsewhere too; a run is (first start, number of starts).
 
-    Suffixes are ordered only through their first ``threshold`` bytes, in passes from the leading
-    digit on, and leave as soon as they are settled. The first pass sorts runs of neighbouring
-    suffixes by first digit; a digit that occurs once leaves. In the second, runs of equal content
+    Suffixes are grouped only by their first ``threshold`` bytes and leave as soon as they are settled.
+    The first pass deals runs of neighbouring suffixes by first digit, the least hash of the
+    strings in their window; a digit that occurs once leaves. In the second, runs of equal content
     are repeats as a whole. Only where a digit has different contents are one run of each content
-    opened and its suffixes sorted by all their bytes; equal groups there are repeated windows. A
-    digit that more than ``hot`` rows of a chunk share surely has, so its rows part before they are dealt.
+    opened and its suffixes grouped by a hash of all their bytes, 128 bits long; groups of several are
+    repeated windows. A digit that more than ``hot`` rows of a chunk share surely has different
+    contents, so its rows part before they are dealt.
     """
     rows = _row_keys(docs, id_col, text_col)
     by, same = Window.partitionBy("a"), Window.partitionBy("a", "b")
