@@ -20,9 +20,8 @@ TRUST = 100.0
 #: each confusion in a declaration's, and of each bucket in a language's.
 HOST_PRIOR, TOP_PRIOR, CONFUSION, BUCKET_PRIOR = 20.0, 1.0, 1.0, 0.1
 LANGUAGE = r"^[a-z]{2,3}$"
-#: Share of all declarations that a language needs to be one: made-up codes have less, and so there
-#: are at most a thousand.
-LEAST_SHARE = 0.001
+#: Declared codes that are tried as languages, those with the most declarations: bounds the tables, not the rows.
+MOST_CODES = 1000
 #: Halves of the rows: a row's text is judged by what the other half declares.
 FOLDS = 2
 
@@ -80,11 +79,29 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"&[a-zA-Z#0-9]+;", " ")
 
 
-def train(rows: DataFrame, least_share: float = LEAST_SHARE) -> tuple[list[str], np.ndarray]:
+def agreeing(counts: np.ndarray) -> list[int]:
+    """Places of the codes whose declarations agree, among ``counts`` by half, code and bucket, codes by falling number of rows.
+
+    A code is a language if each half has text of it and the table of the other half explains that
+    text better than the table of any language with more rows. A made-up code on few texts of a
+    common language does not pass; a rare language does, whatever its share of the corpus.
+    """
+    table = counts + np.float32(BUCKET_PRIOR)
+    logs = np.log(table / table.sum(axis=2, keepdims=True))
+    fit = sum(counts[f] @ logs[1 - f].T for f in range(FOLDS))
+    told = (counts.sum(axis=2) > 0).all(axis=0)
+    found: list[int] = []
+    for i in np.flatnonzero(told).tolist():
+        if not found or fit[i, i] > fit[i, found].max():
+            found.append(i)
+    return found
+
+
+def train(rows: DataFrame, least_share: float = 0.0) -> tuple[list[str], np.ndarray]:
     """Languages that rows declare, and for each fold each one's log shares of the trigram buckets in all rows of other folds.
 
     Declarations are the labels. Tasks add up counts and send a row a language, fold and bucket;
-    bucket -1 counts rows.
+    bucket -1 counts rows. Codes are languages if their halves agree (``agreeing``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,14 +123,16 @@ def train(rows: DataFrame, least_share: float = LEAST_SHARE) -> tuple[list[str],
     # A declaration has two or three letters, so these have a bounded number of rows.
     counted = shared(counted.groupBy("lang", "fold", "bucket").agg(F.sum("n").alias("n")))
     seen = {r["lang"]: r["n"] for r in counted.where("bucket = -1").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(x for x, n in seen.items() if n >= least_share * sum(seen.values()))
-    table = np.full((FOLDS, len(langs), BUCKETS), BUCKET_PRIOR, np.float32)
-    found = counted.where(F.col("bucket") >= 0).where(F.col("lang").isin(langs) if langs else F.lit(False))
+    enough = [(-n, x) for x, n in seen.items() if n >= least_share * sum(seen.values())]
+    codes = [x for _, x in sorted(enough)[:MOST_CODES]]
+    counts = np.zeros((FOLDS, len(codes), BUCKETS), np.float32)
+    found = counted.where(F.col("bucket") >= 0).where(F.col("lang").isin(codes) if codes else F.lit(False))
     for r in found.groupBy("lang", "fold").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).collect():
-        for fold in range(FOLDS):
-            if fold != r["fold"]:
-                table[fold, langs.index(r["lang"]), r["b"]] += np.array(r["n"], np.float32)
-    return langs, np.log(table / table.sum(axis=2, keepdims=True))
+        counts[r["fold"], codes.index(r["lang"]), r["b"]] = r["n"]
+    at = sorted(agreeing(counts), key=lambda i: codes[i])
+    # With two halves, the other rows of a half are the other half.
+    table = counts[::-1, at] + np.float32(BUCKET_PRIOR)
+    return [codes[i] for i in at], np.log(table / table.sum(axis=2, keepdims=True))
 
 
 def text_likelihoods(rows: DataFrame, langs: list[str], logs: np.ndarray, trust: float = TRUST) -> DataFrame:
@@ -136,11 +155,12 @@ def text_likelihoods(rows: DataFrame, langs: list[str], logs: np.ndarray, trust:
     return rows.mapInArrow(run, "id long, declared string, suffix string, host string, parent string, ll array<double>, n_grams long")
 
 
-def identify(rows: DataFrame, threshold: float = 0.5, least_share: float = LEAST_SHARE) -> DataFrame:
+def identify(rows: DataFrame, threshold: float = 0.5, least_share: float = 0.0) -> DataFrame:
     """``id, language, posterior, text_language, declared, host, n_grams, kept`` for each row of ``evidence``.
 
-    Text likelihoods come from trigram shares of the declared languages, those that ``least_share``
-    of all declarations name; no row's text is judged by its own declaration, but by those of the
+    Text likelihoods come from trigram shares of the declared languages: codes whose texts in one half
+    of the rows are explained by those in the other (``agreeing``), if ``least_share`` of all
+    declarations name them, of any share by default; no row's text is judged by its own declaration, but by those of the
     other half of the rows (dealt by a hash of id and text). Then three tables are
     added up over all rows, by the language that text alone makes likeliest: how often it stands
     with each declaration, with each address suffix, and with each host, whose shares are smoothed

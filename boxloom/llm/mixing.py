@@ -16,8 +16,10 @@ WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
 #: Words of a block, and about how many words a shard holds.
 BLOCK, SHARD = 32, 1 << 18
-#: Blocks that a task draws from, and rows of sums by group that are broadcast at most.
+#: Blocks that a task draws from, and rows of sums by group, or repeated ids, that are broadcast at most.
 TASK, BROADCAST_GROUPS = 1 << 18, 100_000
+#: Copies of a row that are written out by one task.
+COPIES = 4096
 
 
 def size_of(text: Column) -> Column:
@@ -90,6 +92,31 @@ def apportion(parties: DataFrame, group: list[str], key: list[str], votes: str,
     return df.join(won, key, "left").select(*names, (F.col("_sure") + F.coalesce("_won", F.lit(0))).cast("long").alias("quota"))
 
 
+def _written_out(classes: DataFrame) -> DataFrame:
+    """``classes`` with a row for each of ``copies``, numbered by ``copy``; many copies of one row are dealt to many tasks."""
+    few = classes.where(F.col("copies") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    lots = classes.where(F.col("copies") > COPIES)
+    last = F.floor((F.col("copies") - 1) / COPIES)
+    lots = lots.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("content", "_chunk")
+    first = F.col("_chunk") * COPIES
+    lots = lots.withColumn("copy", F.explode(F.sequence(first, F.least(first + COPIES, F.col("copies")) - 1))).drop("_chunk")
+    return few.unionByName(lots).drop("copies")
+
+
+def _keyed(classes: DataFrame, seed: int) -> DataFrame:
+    """A row for each row of ``classes`` (id, source, size, content, copies), with its ``key``.
+
+    The key is a seeded hash of the id; where that is null or repeated, of content and copy number
+    too, so that rows without ids of their own don't go to one shard.
+    """
+    again = shared(classes.where("id is not null").groupBy("id").agg(F.sum("copies").alias("_n")).where("_n > 1").select(F.col("id").alias("_again")))
+    again = F.broadcast(again) if again.count() <= BROADCAST_GROUPS else again
+    rows = _written_out(classes.join(again, F.col("id") == F.col("_again"), "left"))
+    own = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    more = F.concat_ws(":", own, "content", "size", "copy")
+    return rows.withColumn("key", F.md5(F.when(F.col("id").isNull() | F.col("_again").isNotNull(), more).otherwise(own))).drop("_again", "content", "copy")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -102,8 +129,8 @@ def mix(
 ) -> DataFrame:
     """``id, source, size, source_size, target, sid, shard, start, quota, n_blocks, taken`` for each row.
 
-    The rows of a source are dealt to shards by a seeded hash of the id and laid end to end within
-    the shard in the order of that hash; the shard's words, cut every ``block`` words, are its
+    The rows of a source are dealt to shards by a seeded hash of the id (of content and a number too
+    where the id is null or repeated) and laid end to end within the shard in the order of that hash; the shard's words, cut every ``block`` words, are its
     blocks. Sources get whole numbers of blocks by Sainte-Laguë for their targets, then a source's
     shards for their sizes. A shard takes each block as often as its quota goes around, and once
     more the blocks that come first by a seeded hash. No quota passes twice the shard's blocks, so
@@ -111,19 +138,20 @@ def mix(
 
     A shard is about ``shard`` words (one document may be longer), so no task holds a source; a hot
     source only has more shards. Null texts and texts without words have size 0 and take nothing;
-    null sources are one source, the last; null ids hash as the empty string; repeated rows are
-    rows of their own; an empty table gives an empty result. The same rows give the same result.
+    null sources are one source, the last; rows with null or repeated ids are spread over shards
+    like others; equal rows are rows of their own, numbered, and one can't tell which got which number; an empty table gives an empty result. The same rows give the same result.
     """
-    rows = pack(docs, id=F.col(id_col), source=F.col(source_col).cast("string"), size=size_of(F.col(text_col).cast("string")))
-    rows = shared(rows)
-    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
+    text = F.col(text_col).cast("string")
+    rows = pack(docs, id=F.col(id_col), source=F.col(source_col).cast("string"), size=size_of(text), content=F.xxhash64(text))
+    classes = shared(rows.groupBy("id", "source", "size", "content").agg(F.count("*").alias("copies")))
+    sources = targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights)
     total = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     seats = math.floor(total / block + 0.5)
     sources = apportion(sources.withColumn("_all", F.lit(0)), ["_all"], ["sid"], "target", F.lit(seats)).drop("_all")
     sources = shared(sources.withColumnRenamed("quota", "source_quota"))
 
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    dealt = rows.join(sources, rows.source.eqNullSafe(sources.source)).drop(sources.source).withColumn("key", key)
+    rows = _keyed(classes, seed)
+    dealt = rows.join(sources, rows.source.eqNullSafe(sources.source)).drop(sources.source)
     pieces = F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1))
     dealt = dealt.withColumn("shard", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % pieces)
     along = Window.partitionBy("sid", "shard").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)

@@ -164,6 +164,22 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_without_own_ids(spark):
+    """Null and repeated ids, and copies in any number, are spread over shards; each row is in the result."""
+    rows = [(None, f"t{i} " * 20, "s") for i in range(1500)] + [(5, f"u{i} " * 20, "s") for i in range(900)] + [(None, "same words here " * 2, "s")] * 9000 + [(i, "x " * 20, "s") for i in range(10, 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, block=8, shard=4000).collect()
+    assert Counter((r["id"], r["size"]) for r in got) == Counter((i, len(t.split())) for i, t, _ in rows)
+    words = Counter()
+    for r in got:
+        words[r["shard"]] += r["size"]
+    assert len(words) >= 20 and max(words.values()) <= 2 * 4000, words
+    total = sum(len(t.split()) for _, t, _ in rows)
+    assert abs(sum(r["taken"] for r in got) - 1.5 * total) <= 0.005 * total + 100
+    again = mixing.mix(df.repartition(3), block=8, shard=4000).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_apportion(spark):
     rng = random.Random(3)
     groups = {g: ([rng.randint(0, 1000) for _ in range(rng.randint(1, 9))], rng.choice([0, 1, 3, 10, 57, 400])) for g in range(30)}

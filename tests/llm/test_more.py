@@ -262,6 +262,19 @@ def test_language_posteriors(spark):
             assert got[i]["language"] == want[0] and got[i]["posterior"] == pytest.approx(want[1], rel=1e-3), i
 
 
+def test_language_rare(spark):
+    """A language is found whatever its share; made-up codes on texts of others are not languages."""
+    letters = {"en": "abcdef", "de": "ghijkl", "sw": "mnopqr"}
+    rng = random.Random(3)
+    word = lambda x: "".join(rng.choices(letters[x], k=5))
+    rows = [(i, " ".join(word(x) for _ in range(30)), x) for i, x in enumerate(["en", "de"] * 2000 + ["sw"] * 8)]
+    rows += [(10_000 + i, " ".join(word("en") for _ in range(30)), f"q{'abc'[i % 3]}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("host", F.lit("h"))
+    got = {r["id"]: r for r in language.identify(language.evidence(df, declared=F.col("lang"), host=F.col("host"))).collect()}
+    for i, _, x in rows:
+        assert got[i]["language"] == ("en" if x[0] == "q" else x) and got[i]["kept"], (i, x)
+
+
 def test_language_hidden(spark):
     """Rows whose declaration is hidden, and those with made-up codes, get their language from the rest."""
     truth = dict(rows_of("select doc_id, lang FROM documents;", "/root/testdata/sf0.01"))
