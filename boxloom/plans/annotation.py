@@ -12,6 +12,7 @@ from boxloom.operators.duplicates import first_seen_numbers, keep_first
 from boxloom.operators.metrics import count_if
 from boxloom.plans import fixtures as V
 from boxloom.plans.registry import query
+from boxloom.sinks.package import package_status, package_totals
 
 c, lit = F.col, F.lit
 
@@ -304,11 +305,6 @@ def orphans(spark, d):
 )
 def package_validation(spark, d):
     """What would keep a package from being written: missing labels, positives without boxes, files not listed."""
-    n = V.table(spark, d, "lineitem").where("l_returnflag <> 'R'").groupBy(c("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
-    m = V.table(spark, d, "orders").select(c("o_orderkey").alias("k"), (c("o_orderkey") % 3 == 0).alias("bg"), lit(True).alias("listed"))
-    j = m.join(n, "k", "full")
-    here, empty = c("listed").isNotNull(), c("n").isNull()
-    return j.agg(
-        count_if(here).alias("n_listed"), count_if(here & empty).alias("n_without_label"), count_if(here & empty & ~c("bg")).alias("n_positive_but_empty"),
-        F.coalesce(F.sum(F.when(here, c("n"))), lit(0)).alias("n_boxes"), count_if(~here).alias("n_unlisted"),
-    )
+    listed = V.table(spark, d, "orders").select(c("o_orderkey").alias("stem"), (c("o_orderkey") % 3 == 0).alias("is_background"))
+    boxes = V.table(spark, d, "lineitem").where("l_returnflag <> 'R'").select(c("l_orderkey").alias("stem"), lit(0).alias("cls"), lit(True).alias("ok"))
+    return package_totals(package_status(listed, listed, boxes, boxes))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from fnmatch import fnmatch
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from boxloom.functions.text import base_name, class_number, label_tokens, polygon, stem, suffix
+from boxloom.sources.trees import listing
 
 BOX = "struct<xmin:string,ymin:string,xmax:string,ymax:string>"
 VOC = f"size struct<width:string,height:string>, object array<struct<name:string,bndbox:{BOX}>>, _corrupt_record string"
@@ -22,10 +21,18 @@ SEVERITY = "stem string, dbs_scalar double, road_std double, snr_ratio double, t
 
 
 def file_texts(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
-    """``path, stem, text`` of every file under ``path``. Spark skips empty files: join to a list of files to see them."""
+    """``path, stem, text`` of every file under ``path``. Spark skips empty files: ``label_texts`` has them too."""
     paths = [path] if isinstance(path, str) else path
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(paths, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("path"), stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias("text"))
+    # The address is encoded, but for plus signs.
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return rows.select(name.alias("path"), F.col("value").alias("text")).select("path", stem(F.col("path")).alias("stem"), "text")
+
+
+def label_texts(spark: SparkSession, path: str | list[str], glob: str = "*.txt") -> DataFrame:
+    """``path, stem, text`` of every file under ``path``, empty ones, which stand for backgrounds, too."""
+    empty = listing(spark, path, glob).where("length = 0")
+    return file_texts(spark, path, glob).unionByName(empty.select("path", "stem", F.lit("").alias("text")))
 
 
 def voc_annotations(texts: DataFrame) -> DataFrame:
@@ -94,24 +101,6 @@ def id_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("m"))
 
 
-def listing(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
-    """``path, stem, ext, length`` of files below the folders, empty ones too, which Spark's file sources leave out.
-
-    Names are listed on the driver through the file system of each path; contents are not read.
-    """
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    rows = []
-    for p in dict.fromkeys([path] if isinstance(path, str) else path):
-        root = hadoop.Path(p)
-        files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
-        while files.hasNext():
-            f = files.next()
-            if fnmatch(f.getPath().getName(), glob):
-                rows.append((f.getPath().toString(), f.getLen()))
-    df = spark.createDataFrame(sorted(set(rows)), "path string, length long")
-    return df.select("path", stem(F.col("path")).alias("stem"), suffix(F.col("path")).alias("ext"), "length")
-
-
 def image_index(files: DataFrame, extensions: tuple[str, ...] = IMAGES) -> DataFrame:
     """For each stem the image whose extension comes first."""
     rank = F.array_position(F.array(*map(F.lit, extensions)), F.col("ext"))
