@@ -67,10 +67,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, with ``size``, ``source_size``, ``target`` and ``taken``.
 
-    Rows that share an id get the larger of their takes.
+    Rows that share only an id have takes of their own; rows equal in id and text get the larger of theirs.
     """
-    found = mixing.mix(docs).where("taken > 0").groupBy("id").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
-    return docs.join(found, docs.doc_id.eqNullSafe(found.id)).select(*COLUMNS, "size", "source_size", "target", "taken")
+    rows = _keyed(docs)
+    found = mixing.mix(rows, id_col="row_key").where("taken > 0").groupBy("id", "size").agg(*[F.max(c).alias(c) for c in ("source_size", "target", "taken")])
+    same = (rows.row_key == found.id) & (mixing.size_of(rows.text) == found.size)
+    return rows.join(found, same).select(*COLUMNS, "size", "source_size", "target", "taken")
 
 
 STAGES = [
