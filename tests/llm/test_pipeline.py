@@ -77,6 +77,17 @@ def test_shared_ids(spark):
     assert (2, "this has letters") in {(r["doc_id"], r["text"]) for r in lang} and len(lang) == 4
 
 
+def test_mix_of_shared_ids(spark):
+    """Takes of rows that share an id add up to the mix, and reruns agree."""
+    rows = [(i % 40 if i % 3 else None, f"word{i} " * (40 + i % 7), "en", f"s{i % 3}", 9) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.mix_sources(spark, docs, SF).collect()
+    total = sum(len(t.split()) for _, t, *_ in rows)
+    assert abs(sum(r["taken"] for r in got) - 1.5 * total) <= 0.01 * total
+    assert len({r["text"] for r in got}) == len(got) and all(r["size"] == len(r["text"].split()) for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, P.mix_sources(spark, docs.repartition(3), SF).collect()))
+
+
 def test_run_is_registered(spark):
     import __spark_entry__
 
