@@ -82,8 +82,8 @@ def html_text(html: Column) -> Column:
 def agreeing(counts: np.ndarray) -> list[int]:
     """Places of the codes whose declarations agree, among ``counts`` by half, code and bucket, codes by falling number of rows.
 
-    A code is a language if each half has text of it and the table of the other half explains that
-    text better than the table of any language with more rows. A made-up code on few texts of a
+    A code is a language if each half has text of it and its tables, each from the other half, explain
+    that text better in all than the tables of any language with more rows. A made-up code on few texts of a
     common language does not pass; a rare language does, whatever its share of the corpus.
     """
     table = counts + np.float32(BUCKET_PRIOR)
