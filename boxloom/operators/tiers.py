@@ -27,6 +27,34 @@ def snr(value: Column, spread: Column) -> Column:
     return F.when(spread > 0, value / spread).when(spread.isNotNull() & value.isNotNull(), F.lit(float("inf")))
 
 
+#: Whole values up to this are added up as numbers of 64 bits.
+WHOLE = 1_000_000
+
+
+def spread_of(df: DataFrame, group: list[str], value: str, *more: Column) -> DataFrame:
+    """``group, dbs, sd, snr, n`` and ``more`` of each group: sum, population deviation, their ratio, rows.
+
+    Running means round differently by the order in which rows and partial results arrive, and so move
+    ratios that lie on a limit to either side of it. Whole values are added up exactly instead, and
+    the ratio is taken before either is divided by their number: on a limit it is that limit.
+    """
+    v = F.col(value)
+    fits = (v == F.floor(v)) & (F.abs(v) <= WHOLE)
+    whole = F.when(fits, v).cast("long")
+    sums = df.groupBy(*group).agg(
+        F.sum(v).alias("dbs"), F.stddev_pop(v).alias("sd"), F.count("*").alias("n"), F.bool_and(fits).alias("_fits"),
+        F.count(v).alias("_n"), F.sum(whole).alias("_s"), F.try_sum(whole * whole).alias("_q"), *more,
+    )
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    # The number of values squared times their variance.
+    sums = sums.withColumn("_root", F.sqrt((wide("_n") * wide("_q") - wide("_s") * wide("_s")).cast("double")))
+    exact = F.col("_fits") & F.col("_root").isNotNull()
+    return sums.withColumns({
+        "snr": F.when(exact, snr((wide("_n") * wide("_s")).cast("double"), F.col("_root"))).otherwise(snr(F.col("dbs"), F.col("sd"))),
+        "sd": F.when(exact, F.col("_root") / F.col("_n")).otherwise(F.col("sd")),
+    }).drop("_fits", "_n", "_s", "_q", "_root")
+
+
 def snr_band(ratio: Column) -> Column:
     """clean above 2, marginal from 1 to 2, noise below 1; null for what is not finite."""
     finite = ratio.isNotNull() & ~F.isnan(ratio) & (ratio < float("inf"))

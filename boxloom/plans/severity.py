@@ -18,9 +18,8 @@ V.CTES["meas"] = """select l_orderkey stem, sum(l_quantity)::double dbs, stddev_
 
 
 def _measured(spark, d):
-    return V.table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("stem")).agg(
-        F.sum("l_quantity").alias("dbs"), F.stddev_pop("l_quantity").alias("sd"), F.count("*").alias("n"), X.count_if(c("l_returnflag") == "N").alias("n_in")
-    )
+    rows = V.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "stem")
+    return T.spread_of(rows, ["stem"], "l_quantity", X.count_if(c("l_returnflag") == "N").alias("n_in"))
 
 
 _CUTS = "(select quantile_cont(o_totalprice, 1/3::double) low, quantile_cont(o_totalprice, 2/3::double) high from orders{w})"
@@ -68,14 +67,14 @@ def percentile_profile(spark, d):
 
 @query("snr_gate", V.sql("meas", """select case when sd is null or sd=0 then 'excluded' when dbs/sd/10>2 then 'clean' when dbs/sd/10>=1 then 'marginal' else 'noise' end band, count(*) n, round(avg(sd),6) mean_sd from meas group by 1"""))
 def snr_gate(spark, d):
-    m = _measured(spark, d).withColumn("r", T.snr(c("dbs"), c("sd")) / 10)
+    m = _measured(spark, d).withColumn("r", c("snr") / 10)
     return m.groupBy(F.coalesce(T.snr_band(c("r")), lit("excluded")).alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("sd"), 6).alias("mean_sd"))
 
 
 @query("clean_filter", V.sql("meas", "select count(*) n, count(*) filter (stem%9<>0 and sd>0 and dbs/sd>20) n_clean from meas"))
 def clean_filter(spark, d):
     """Ratios written as text, some unreadable."""
-    text = F.when(c("stem") % 9 == 0, lit("n/a")).otherwise((T.snr(c("dbs"), c("sd")) / 10).cast("string"))
+    text = F.when(c("stem") % 9 == 0, lit("n/a")).otherwise((c("snr") / 10).cast("string"))
     finite = c("sd") > 0
     m = _measured(spark, d)
     return m.agg(F.count("*").alias("n"), X.count_if(T.is_clean(text) & F.coalesce(finite, lit(False))).alias("n_clean"))
