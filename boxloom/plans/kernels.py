@@ -43,21 +43,31 @@ def phash_kernel(spark, d):
     return V.table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, hash long")
 
 
+#: Parts whose scenes one task makes, and those that it hands on at once.
+SCENES, AT_ONCE = 1000, 64
+
+
 def _scenes(spark, d):
-    """A tilted plane with noise for each part, with a square hole as deep as the part is large."""
+    """A tilted plane with noise for each part, with a square hole as deep as the part is large.
+
+    Parts are few bytes, so that Spark reads a large table of them in one task; scenes are not, so they are dealt by number.
+    """
     parts = V.table(spark, d, "part").select(c("p_partkey").cast("string").alias("stem"), "p_size")
+    parts = parts.repartition(max(1, -(-parts.count() // SCENES)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y, x = np.mgrid[:120, :120]
+        plane = 900 + 0.3 * x - 0.2 * y
         for b in batches:
-            rows = []
-            for stem, size in zip(b["stem"], b["p_size"], strict=True):
-                depth = 900 + 0.3 * x - 0.2 * y + np.random.default_rng(int(stem)).normal(0, 1, x.shape)
-                depth[45:75, 45:75] += float(size)
-                out = io.BytesIO()
-                np.save(out, depth)
-                rows.append((stem, out.getvalue(), float(size)))
-            yield pd.DataFrame(rows, columns=["stem", "depth", "truth"])
+            for at in range(0, len(b), AT_ONCE):
+                rows = []
+                for stem, size in zip(b["stem"][at : at + AT_ONCE], b["p_size"][at : at + AT_ONCE], strict=True):
+                    depth = plane + np.random.default_rng(int(stem)).normal(0, 1, x.shape)
+                    depth[45:75, 45:75] += float(size)
+                    out = io.BytesIO()
+                    np.save(out, depth)
+                    rows.append((stem, out.getvalue(), float(size)))
+                yield pd.DataFrame(rows, columns=["stem", "depth", "truth"])
 
     ring = "array(struct(0.375D as x, 0.375D as y), struct(0.62D as x, 0.375D as y), struct(0.62D as x, 0.62D as y), struct(0.375D as x, 0.62D as y))"
     return parts.mapInPandas(run, "stem string, depth binary, truth double").withColumn("points", F.expr(ring))
