@@ -28,8 +28,9 @@ def voc_parse(spark, d):
     one = F.format_string("<object><name>%s</name><bndbox><xmin>0</xmin><ymin>0</ymin><xmax>%d</xmax><ymax>5</ymax></bndbox></object>", c("l_returnflag"), c("w"))
     body = F.concat(lit("<annotation><size><width>720</width><height>720</height></size>"), F.array_join(F.collect_list(one), ""), F.when(c("l_orderkey") % 10 == 3, "<object>").otherwise("</annotation>"))
     a = voc_annotations(b.groupBy("l_orderkey").agg(body.alias("text")).select(c("l_orderkey").alias("stem"), "text"))
-    n = voc_boxes(a.where("parsed")).groupBy("stem").agg(F.count("*").alias("n_boxes"), F.min(c("x1") - c("x0")).alias("least_width"), F.count_if(c("name") == "R").alias("n_class"))
-    return a.select("stem").join(n, "stem", "left").select("stem", F.coalesce("n_boxes", lit(0)).alias("n_boxes"), "least_width", F.coalesce("n_class", lit(0)).alias("n_class"))
+    # Broken texts keep a row, so that texts are made and parsed once and no join is needed.
+    n = voc_boxes(a, outer=True).groupBy("stem").agg(F.count("box_index").alias("n_boxes"), F.min(c("x1") - c("x0")).alias("least_width"), F.count_if(c("name") == "R").alias("n_class"))
+    return n.select("stem", "n_boxes", "least_width", "n_class")
 
 
 @query("phash_kernel")

@@ -43,9 +43,13 @@ def voc_annotations(texts: DataFrame) -> DataFrame:
     return x.select(*keep, (F.col("x").isNotNull() & F.col("x._corrupt_record").isNull()).alias("parsed"), number(F.col("x.size.width")).alias("width"), number(F.col("x.size.height")).alias("height"), F.col("x.object").alias("objects"))
 
 
-def voc_boxes(annotations: DataFrame) -> DataFrame:
-    """One row for each object, in file order, with its trimmed name and corners (null if unreadable)."""
-    rows = annotations.select(*[c for c in annotations.columns if c != "objects"], F.posexplode("objects").alias("box_index", "o"))
+def voc_boxes(annotations: DataFrame, outer: bool = False) -> DataFrame:
+    """One row for each object, in file order, with its trimmed name and corners (null if unreadable).
+
+    With ``outer`` an annotation without objects, or a broken one, has a row too, without a ``box_index``.
+    """
+    spread = F.posexplode_outer(F.when(F.col("parsed"), F.col("objects"))) if outer else F.posexplode("objects")
+    rows = annotations.select(*[c for c in annotations.columns if c != "objects"], spread.alias("box_index", "o"))
     number = lambda c: F.trim(c).try_cast("double")
     corners = [number(F.col(f"o.bndbox.{a}")).alias(b) for a, b in (("xmin", "x0"), ("ymin", "y0"), ("xmax", "x1"), ("ymax", "y1"))]
     return rows.select(*[c for c in rows.columns if c != "o"], F.trim(F.coalesce("o.name", F.lit(""))).alias("name"), *corners)
