@@ -174,8 +174,8 @@ def _matched_by_cluster(pairs: DataFrame, gt_type: str, pred_type: str) -> DataF
     return dealt.mapInPandas(run, f"image_id {image}, pred_idx {pred_type}, gt_idx {gt_type}")
 
 
-def greedy_match(images: DataFrame, gt: DataFrame, det: DataFrame, threshold: float = 0.5, crowd: int = CROWD, crowded: DataFrame | None = None) -> DataFrame:
-    """``image_id, pred_idx, conf, is_tp, gt_idx`` of every detection on a known image.
+def greedy_match(images: DataFrame | None, gt: DataFrame, det: DataFrame, threshold: float = 0.5, crowd: int = CROWD, crowded: DataFrame | None = None) -> DataFrame:
+    """``image_id, pred_idx, conf, is_tp, gt_idx`` of every detection on a known image (None: all are).
 
     Per image, detections by falling confidence (ties: smaller index) each take the free box of
     highest IoU (ties: smaller index). The image's detections that overlap anything are folded in
@@ -191,7 +191,8 @@ def greedy_match(images: DataFrame, gt: DataFrame, det: DataFrame, threshold: fl
         few, many = (lambda rows: rows.join(crowded, "image_id", "left_anti")), (lambda rows: rows.join(crowded, "image_id", "left_semi"))
         won = _folded(candidate_pairs(few(gt), few(det), threshold), *kinds)
         won = won.unionByName(_matched_by_cluster(candidate_pairs(many(gt), many(det), threshold, crowded=crowded), *kinds))
-    known = det.join(images.select("image_id").distinct(), "image_id", "left_semi").select("image_id", "pred_idx", "conf")
+    known = det if images is None else det.join(images.select("image_id").distinct(), "image_id", "left_semi")
+    known = known.select("image_id", "pred_idx", "conf")
     return known.join(won, ["image_id", "pred_idx"], "left").select("image_id", "pred_idx", "conf", F.col("gt_idx").isNotNull().alias("is_tp"), "gt_idx")
 
 

@@ -24,7 +24,8 @@ def _per_domain(ev: str) -> str:
 
 @query("eval_per_domain", V.sql("ev dom", f"select *, {_PRF} from ({_per_domain('ev')}) q"))
 def eval_per_domain(spark, d):
-    return X.with_ratios(X.by_domain(V.events(spark, d), V.gt_boxes(spark, d), V.domains(spark, d), 0.2))
+    gt = V.shared_boxes(spark, d)
+    return X.with_ratios(X.by_domain(V.events(spark, d, gt=gt), gt, V.domains(spark, d), 0.2))
 
 
 @query(
@@ -121,16 +122,19 @@ def _by_domain_and_all(df, dom):
 
 @query("average_precision_by_domain", V.sql("ev dom", _AP))
 def average_precision_by_domain(spark, d):
-    dom = V.domains(spark, d)
-    totals = _by_domain_and_all(V.gt_boxes(spark, d).select("image_id"), dom).groupBy("domain").agg(F.count("*").alias("n_gt"))
-    ap = X.average_precision(_by_domain_and_all(V.events(spark, d), dom), totals, ["domain"])
+    dom, gt = V.domains(spark, d), V.shared_boxes(spark, d)
+    totals = _by_domain_and_all(gt.select("image_id"), dom).groupBy("domain").agg(F.count("*").alias("n_gt"))
+    # Ranks, ties and totals each read the events.
+    own = checkpointed(V.events(spark, d, gt=gt).join(dom, "image_id"))
+    ap = X.average_precision(own.unionByName(own.withColumn("domain", F.lit("OVERALL"))), totals, ["domain"])
     return ap.select("domain", F.round("ap", 6).alias("ap"))
 
 
 @query("ap50_101pt", V.sql("ev dom", _AP).replace('select "domain", round(sum', "select count(*)::bigint n_thresholds, round(sum").replace(") z group by 1", ") z where \"domain\"='OVERALL'"))
 def ap50_101pt(spark, d):
     dom = V.domains(spark, d).select("image_id")
-    gt, ev = V.gt_boxes(spark, d).join(dom, "image_id", "left_semi"), V.events(spark, d).join(dom, "image_id", "left_semi")
+    boxes = V.shared_boxes(spark, d)
+    gt, ev = boxes.join(dom, "image_id", "left_semi"), checkpointed(V.events(spark, d, gt=boxes).join(dom, "image_id", "left_semi"))
     one = lambda df: df.withColumn("all", F.lit(1))
     ap = X.average_precision(one(ev), one(gt).groupBy("all").agg(F.count("*").alias("n_gt")), ["all"])
     return ap.select(F.lit(101).cast("long").alias("n_thresholds"), F.round("ap", 6).alias("ap"))
