@@ -30,6 +30,8 @@ SUPPORT = 3
 #: Shares of an entity's information content, above which a term is generalised or removed.
 GENERALISE, REMOVE = 0.8, 0.95
 TERM = r"\p{L}+"
+#: Texts with disclosing terms that are sent to every task at most; beyond that a join is shuffled.
+BROADCAST_HITS = 400_000
 #: Elements that a fold appends to one array; longer ones are folded in chunks.
 CHUNK = 256
 
@@ -129,7 +131,7 @@ def _terms(line: Column) -> Column:
 def disclosing_terms(
     docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_terms: int = 100_000
 ) -> DataFrame:
-    """``term, kind, share, action``: terms of ``docs(text, spans)`` that disclose a protected entity.
+    """``term, kind, share, action``: terms of ``docs(text)`` that disclose a protected entity.
 
     An entity is a value of a pattern, or the kind as a class; a context is a line. A term's
     disclosure is its pointwise mutual information with the entity over lines, as a share of the
@@ -140,7 +142,8 @@ def disclosing_terms(
     are not paired; pair counts are added up before they are dealt, so a frequent term or entity is
     one row a task.
     """
-    lines = docs.where(F.size("spans") > 0).select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    # No pattern matches across lines, so lines are searched by themselves, and whole texts but once, for the result.
+    lines = docs.where(F.col("text").rlike("@|[0-9]")).select(F.explode(F.split("text", "\n", -1)).alias("line"))
     lines = lines.where(F.col("line").rlike("@|[0-9]")).select("line", base_spans(F.col("line"), secrets=True).alias("s")).where(F.size("s") > 0)
     bare = F.col("line")
     for pattern in (KINDS["email"], KINDS["phone"], KINDS["card"], KINDS["ip"], SECRET):
@@ -196,6 +199,9 @@ def sanitise(
     listed = F.broadcast(terms) if count <= broadcast_terms else terms
     told = F.concat("action", F.lit(":"), "kind")
     hits = words.join(listed, "term").groupBy("r1", "r2").agg(F.map_from_entries(F.collect_set(F.struct("term", told))).alias("terms"))
+    # A row for each text with a term, and few have one: texts are dealt only beyond the bound.
+    hits = shared(hits)
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
     rows = rows.withColumns(key).join(hits, ["r1", "r2"], "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("terms"), "|"), F.lit(r")(?!\p{L})"))
     places = F.transform(
