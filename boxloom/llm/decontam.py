@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import pack, shared
+from boxloom.llm.common import few_at_once, pack, shared
 
 #: Upper case to lower case, and everything that no word has to spaces; UTF-8 bytes above 127 stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -141,8 +141,9 @@ def build_index(docs: DataFrame, bits: np.ndarray, gap: int, segment: int = SEGM
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            for i, t in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True):
-                text = t.as_py() or b""
+            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                # A text's own bytes: cast as a whole, a batch would be held twice.
+                text = t.as_buffer().to_pybytes() if t.is_valid else b""
                 words = words_of(text)
                 ids = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
                 known = np.flatnonzero(ids >= 0)
@@ -300,7 +301,8 @@ def contamination(
         first = items if first is None else first
         mark({w for _, text in items for w in words_of(text)}, bits)
     gap = width + 2 * slop
-    index = shared(build_index(rows, bits, gap, segment))
+    with few_at_once(docs.sparkSession):
+        index = shared(build_index(rows, bits, gap, segment))
     found = []
     for i in range(n):
         own = Tests(first if i == 0 else part(i), width)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import pack, shared
+from boxloom.llm.common import few_at_once, pack, shared
 from boxloom.llm.graph import components
 
 #: Shingles hashed at once; bounds a worker's memory for a text of any length.
@@ -127,7 +127,8 @@ def near_duplicates(
     other; a null id keeps its row and never names a component unless nothing else is in it;
     repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
-    rows = shared(fingerprints(docs, id_col, text_col, width))
+    with few_at_once(docs.sparkSession):
+        rows = shared(fingerprints(docs, id_col, text_col, width))
     nodes = shared(rows.groupBy("fp").agg(F.min("id").alias("least")))
     labels = components(links(nodes.select("fp"), distance, bucket=bucket))
     named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
