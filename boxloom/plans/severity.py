@@ -73,8 +73,8 @@ def snr_gate(spark, d):
 
 @query("clean_filter", V.sql("meas", "select count(*) n, count(*) filter (stem%9<>0 and sd>0 and dbs/sd>20) n_clean from meas"))
 def clean_filter(spark, d):
-    """Ratios written as text, some unreadable."""
-    text = F.when(c("stem") % 9 == 0, lit("n/a")).otherwise((c("snr") / 10).cast("string"))
+    """Ratios written as text, some unreadable, as are those of rows without a key."""
+    text = F.when(c("stem") % 9 != 0, (c("snr") / 10).cast("string")).otherwise(lit("n/a"))
     finite = c("sd") > 0
     m = _measured(spark, d)
     return m.agg(F.count("*").alias("n"), X.count_if(T.is_clean(text) & F.coalesce(finite, lit(False))).alias("n_clean"))

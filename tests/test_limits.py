@@ -2,6 +2,7 @@
 
 import itertools
 
+import duckdb
 import pytest
 
 from boxloom.operators import tiers
@@ -30,6 +31,16 @@ def test_clean_filter_on_limits(spark, orders):
     assert tuple(load_registry()["clean_filter"].build(spark, orders).first()) == (144, 0)
 
 
+def test_clean_filter_without_keys(spark, tmp_path):
+    """Rows without a key are one more group, never clean, as in SQL."""
+    rows = [(k, float(q), "N") for k in (None, 1, 9) for q in (40, 41)]
+    spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    q = load_registry()["clean_filter"]
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert tuple(q.build(spark, str(tmp_path)).first()) == con.execute(q.oracle).fetchone() == (3, 1)
+
+
 def test_spread_of_other_values(spark):
     rows = [(1, 0.5), (1, 1.0), (2, None), (3, 2e9), (3, 1e9), (4, float("nan")), (5, 3.0), (5, 3.0), (6, 7.0), (6, None)]
     got = {r["k"]: r for r in tiers.spread_of(spark.createDataFrame(rows, "k int, v double"), ["k"], "v").collect()}
