@@ -46,38 +46,47 @@ def phash_kernel(spark, d):
 
 #: Parts whose scenes one task makes, and those that it hands on at once.
 SCENES, AT_ONCE = 1000, 64
+#: The outline of each scene's hole, somewhat smaller than it.
+RING = [{"x": 0.375, "y": 0.375}, {"x": 0.62, "y": 0.375}, {"x": 0.62, "y": 0.62}, {"x": 0.375, "y": 0.62}]
 
 
-def _scenes(spark, d):
-    """A tilted plane with noise for each part, with a square hole as deep as the part is large.
-
-    Parts are few bytes, so that Spark reads a large table of them in one task; scenes are not, so they are dealt by number.
-    """
+def _parts(spark, d):
+    """Parts, dealt by number: they are few bytes, so that Spark reads a large table of them in one task, but their scenes are not."""
     parts = V.table(spark, d, "part").select(c("p_partkey").cast("string").alias("stem"), "p_size")
-    parts = parts.repartition(max(1, -(-parts.count() // SCENES)))
+    return parts.repartition(max(1, -(-parts.count() // SCENES)))
+
+
+def _made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A tilted plane with noise for each part, with a square hole as deep as the part is large."""
+    y, x = np.mgrid[:120, :120]
+    plane = 900 + 0.3 * x - 0.2 * y
+    for b in batches:
+        for at in range(0, len(b), AT_ONCE):
+            rows = []
+            for stem, size in zip(b["stem"][at : at + AT_ONCE], b["p_size"][at : at + AT_ONCE], strict=True):
+                depth = np.random.default_rng(int(stem)).standard_normal(x.shape)
+                depth += plane
+                depth[45:75, 45:75] += float(size)
+                out = io.BytesIO()
+                np.save(out, depth)
+                rows.append((stem, out.getvalue(), float(size)))
+            yield pd.DataFrame(rows, columns=["stem", "depth", "truth"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, x = np.mgrid[:120, :120]
-        plane = 900 + 0.3 * x - 0.2 * y
-        for b in batches:
-            for at in range(0, len(b), AT_ONCE):
-                rows = []
-                for stem, size in zip(b["stem"][at : at + AT_ONCE], b["p_size"][at : at + AT_ONCE], strict=True):
-                    depth = plane + np.random.default_rng(int(stem)).normal(0, 1, x.shape)
-                    depth[45:75, 45:75] += float(size)
-                    out = io.BytesIO()
-                    np.save(out, depth)
-                    rows.append((stem, out.getvalue(), float(size)))
-                yield pd.DataFrame(rows, columns=["stem", "depth", "truth"])
 
-    ring = "array(struct(0.375D as x, 0.375D as y), struct(0.62D as x, 0.375D as y), struct(0.62D as x, 0.62D as y), struct(0.375D as x, 0.62D as y))"
-    return parts.mapInPandas(run, "stem string, depth binary, truth double").withColumn("points", F.expr(ring))
+def _scenes(spark, d):
+    ring = F.array(*[F.struct(*[lit(p[k]).alias(k) for k in p]) for p in RING])
+    return _parts(spark, d).mapInPandas(_made, "stem string, depth binary, truth double").withColumn("points", ring)
 
 
 @query("depth_measurements")
 def depth_measurements(spark, d):
-    """Polygon fill, dilation, plane fit and residuals; the measured depth is near the one put in."""
-    return K.measure_depths(_scenes(spark, d)).select("stem", F.round("dbs_scalar", 3).alias("dbs_scalar"), F.round("road_std", 3).alias("road_std"), "inlier_frac", "flag")
+    """Polygon fill, dilation, plane fit and residuals; the measured depth is near the one put in.
+
+    Scenes are measured by the worker that makes them: over 100 KB each, they would cost more to hand on than to measure.
+    """
+    outlined = lambda batches: (b.assign(points=[RING] * len(b)) for b in _made(batches))
+    rows = _parts(spark, d).mapInPandas(lambda batches: K.measured(outlined(batches)), K.MEASURED)
+    return rows.select("stem", F.round("dbs_scalar", 3).alias("dbs_scalar"), F.round("road_std", 3).alias("road_std"), "inlier_frac", "flag")
 
 
 @query("depth_profile")
